@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kairolog.llm import urlfilter
+from kairolog.llm import exactdedup, fingerprint, mixing, urlfilter
 
 
 def queries() -> dict:
-    return {"op10_url_filter": urlfilter.op10_url_filter}
+    found = (mixing.op4_mixing, exactdedup.op7_exact_dedup, fingerprint.op9_fingerprints, urlfilter.op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urlfilter.SQL}
+    return {"op4_mixing": mixing.sql(), "op7_exact_dedup": exactdedup.SQL, "op10_url_filter": urlfilter.SQL}
