@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from kairolog.llm import exactdedup, fingerprint, langid, mixing, tokenfile, urlfilter
+from kairolog.llm import exactdedup, fingerprint, langid, mixing, packing, tokenfile, urlfilter
 
 
 def queries() -> dict:
-    found = (langid.op1_language_id, tokenfile.op3_token_files, mixing.op4_mixing, exactdedup.op7_exact_dedup, fingerprint.op9_fingerprints, urlfilter.op10_url_filter)
+    found = (langid.op1_language_id, tokenfile.op3_token_files, mixing.op4_mixing, packing.op5_packing, exactdedup.op7_exact_dedup, fingerprint.op9_fingerprints, urlfilter.op10_url_filter)
     return {f.__name__: f for f in found}
 
 
