@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm.shared import ascii_lower, saved, workspace
+from kairolog.llm.shared import ascii_lower, saved, small, workspace
 
 #: State on the executors' disks, its memory bounded, its changes logged in the shared folder.
 STATE = {
@@ -45,14 +45,12 @@ def normalised(text):
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def located(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, digest, place (file and row of the content; without files the key alone) and body, the normalised text."""
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with _place, the file and row of each row's content; all alike where docs weren't read from files."""
     try:
-        docs, place = docs.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), F.col("_place")
-    except AnalysisException:  # not read from files
-        place = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("row"))
-    body = normalised(F.col(text))
-    return docs.select(F.col(key).alias("key"), F.unhex(F.sha2(body, 256)).alias("digest"), place.alias("place"), body.alias("body"))
+        return docs.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return docs.withColumn("_place", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("row")))
 
 
 def group_stream(stream: DataFrame) -> DataFrame:
@@ -75,29 +73,47 @@ def groups_of(digests: DataFrame, path: str, folder: str) -> DataFrame:
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         return spark.createDataFrame([], groups.schema)
     found = spark.read.schema(groups.schema).parquet(f"{folder}/groups")
-    return found.groupBy("digest").agg(F.max("rows").alias("rows"), F.max("keeper").alias("keeper"))
+    return saved(found.groupBy("digest").agg(F.max("rows").alias("rows"), F.max("keeper").alias("keeper")), f"{folder}/last")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key, keep_id (key of the row that stays), group_size, kept, text_sha256 (of the normalised text).
-    Texts are equal if identical after lower-casing A-Z; null is the empty text. The row with the largest key stays; of
-    rows with that key (null if all are), the last in file order, or all where docs weren't read from files. A pair of
-    texts with one digest but other bytes stops the query. An empty table gives no rows."""
+def judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """For each row: key, place, digest, rows of its group, keeper, kept. Only rows that hit are read again, for their
+    bytes."""
     folder = workspace(docs.sparkSession, "exact")
-    rows = located(docs, key, text)
-    digests = saved(rows.select("key", "digest", "place"), f"{folder}/digests")
+    rows = placed(docs).select(F.col(key).alias("key"), F.col("_place").alias("place"), normalised(F.col(text)).alias("body"))
+    digests = saved(rows.select("key", "place", F.unhex(F.sha2("body", 256)).alias("digest")), f"{folder}/digests")
     groups = groups_of(digests, f"{folder}/digests", folder)
-    joined = rows.join(groups, "digest")
     is_keeper = F.struct("key", "place").eqNullSafe(F.col("keeper"))
-    one = lambda same: [F.col("key").alias(key), F.col("keeper.key").alias("keep_id"), F.col("rows").alias("group_size"), same.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+    found = saved(digests.join(groups, "digest").withColumn("kept", is_keeper | (F.col("rows") == 1)), f"{folder}/found")
+    hit = found.filter("rows > 1")
+    names = hit.select(F.col("key").alias("k"), F.col("place").alias("p"), "digest", "rows", "kept").distinct()
+    bodies = rows.join(small(names), F.col("key").eqNullSafe(F.col("k")) & (F.col("place") == F.col("p"))).select("key", "place", "digest", "rows", "kept", "body")
+    # where rows have no place, a key names all its texts: each has its own digest
+    bodies = saved(bodies.filter(F.unhex(F.sha2("body", 256)) == F.col("digest")), f"{folder}/bodies")
     # each row that hit goes, with its text, to one of several copies of the keeper's text
     parts = F.ceil(F.col("rows") / TOGETHER).cast("int")
-    hits = joined.filter((F.col("rows") > 1) & ~is_keeper).withColumn("part", F.pmod(F.xxhash64("key", "place"), parts).cast("int"))
-    keepers = joined.filter((F.col("rows") > 1) & is_keeper).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    keepers = keepers.dropDuplicates(["digest", "part"])
-    checked = hits.join(keepers, ["digest", "part"]).withColumn("kept", F.when(F.col("body") == F.col("kept_body"), F.lit(False)).otherwise(F.raise_error(F.lit("two texts with one digest"))))
-    stay = joined.filter(is_keeper | (F.col("rows") == 1)).select(*one(F.lit(True)))
-    return stay.unionByName(checked.select(*one(F.col("kept"))))
+    hits = bodies.filter("not kept").withColumn("part", F.pmod(F.xxhash64("key", "place"), parts).cast("int"))
+    keepers = bodies.filter("kept").select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).dropDuplicates(["digest", "part"])
+    same = F.when(F.col("body") == F.col("kept_body"), F.lit(True)).otherwise(F.raise_error(F.lit("two texts with one digest")).cast("boolean"))
+    checked = hits.join(keepers, ["digest", "part"]).filter(same).select("key", "place").distinct()
+    checked = checked.select(F.col("key").alias("k"), F.col("place").alias("p"))
+    gone = found.filter("not kept").join(checked, F.col("key").eqNullSafe(F.col("k")) & (F.col("place") == F.col("p")), "left_semi")
+    return found.filter("kept").unionByName(gone)
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: key, keep_id (key of the row that stays), group_size, kept, text_sha256 (of the normalised text).
+    Texts are equal if identical after lower-casing A-Z; null is the empty text. The row with the largest key stays; of
+    rows with that key (null if all are), the last in file order, or all where docs weren't read from files. A pair of
+    texts with one digest but other bytes stops the query. An empty table gives no rows."""
+    out = judged(docs, key, text)
+    return out.select(F.col("key").alias(key), F.col("keeper.key").alias("keep_id"), F.col("rows").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, all columns."""
+    gone = saved(judged(docs, key, text).filter("not kept").select(F.col("key").alias("_k"), F.col("place").alias("_p")), f"{workspace(docs.sparkSession, 'exact')}/gone")
+    return placed(docs).join(small(gone), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p")), "left_anti").drop("_place")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
