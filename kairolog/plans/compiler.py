@@ -8,6 +8,7 @@ pushes filters, prunes columns and decorrelates sub-queries.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -29,6 +30,11 @@ WINDOW_ONLY = frozenset("ROW_NUMBER RANK DENSE_RANK NTILE LAG LEAD FIRST_VALUE L
 _numbers = itertools.count()
 
 
+def _own(name: str) -> str:
+    """A column name that no other column has."""
+    return f"c{next(_numbers)}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
+
+
 class QueryError(ValueError):
     pass
 
@@ -68,7 +74,7 @@ class Scope:
 def relation(df: DataFrame, kinds: dict[str, str] | None = None, table: str | None = None) -> Relation:
     """df with own names for its columns."""
     kinds = kinds or {}
-    fields = [Field(f.name.lower(), f"c{next(_numbers)}_{f.name}", kinds.get(f.name, K.of_spark(f.dataType, f.metadata)), table) for f in df.schema.fields]
+    fields = [Field(f.name.lower(), _own(f.name), kinds.get(f.name, K.of_spark(f.dataType, f.metadata)), table) for f in df.schema.fields]
     columns = [F.col(f"`{f.name}`").cast(K.SPARK[x.kind]) if x.kind in (K.INTEGER, K.FLOAT) else F.col(f"`{f.name}`") for f, x in zip(df.schema.fields, fields, strict=True)]
     return Relation(df.select(*[c.alias(x.own) for c, x in zip(columns, fields, strict=True)]), fields)
 
@@ -170,7 +176,7 @@ class Compiler:
             rel = relation(self.functions(name, [a.value for a in args]))
         elif source.table in self.bound and not (source.since or source.until):
             known = self.bound[source.table]
-            own = {f.own: f"c{next(_numbers)}_{f.name}" for f in known.fields}
+            own = {f.own: _own(f.name) for f in known.fields}
             rel = Relation(known.df.select(*[F.col(a).alias(b) for a, b in own.items()]), [Field(f.name, own[f.own], f.kind) for f in known.fields])
         else:
             rel = relation(*self.tables(source, self))
@@ -210,7 +216,7 @@ class Compiler:
             fields = list(left.fields)
             if how in ("right", "full_outer"):
                 for a, b in pairs:
-                    own = f"c{next(_numbers)}_{a.name}"
+                    own = _own(a.name)
                     df = df.withColumn(own, F.coalesce(F.col(a.own), F.col(b.own)))
                     fields = [Field(f.name, f.own, f.kind, f.table, f.hidden or f.own == a.own) for f in fields] + [Field(a.name, own, a.kind)]
             return Relation(df, fields + [Field(f.name, f.own, f.kind, f.table, f.own in merged) for f in right.fields])
@@ -312,7 +318,9 @@ class Compiler:
             made += column
             after[own] = finish
             done[call] = (own, kind)
-        grouped = df.groupBy(*[c.alias(own) for _, c, _, own in keys]).agg(*(made or [F.count(F.lit(1)).alias("n_rows")]))
+        values = made or [F.count(F.lit(1)).alias("n_rows")]
+        # without keys by select(), which also takes columns of an outer query that are not resolved yet
+        grouped = df.groupBy(*[c.alias(own) for _, c, _, own in keys]).agg(*values) if keys else df.select(*values)
         columns = [F.col(own) for *_, own in keys]
         for call, (own, kind) in done.items():
             value = after[own]
