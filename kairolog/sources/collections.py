@@ -21,6 +21,11 @@ NAME = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_\-]*$")
 PATH = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_\-.]*$")
 
 
+def _column(path: str) -> str:
+    """A field's column: a dot would name a part of a struct."""
+    return path.replace(".", "/")
+
+
 class Collections:
     def __init__(self, engine: Engine):
         self.engine = engine
@@ -35,7 +40,7 @@ class Collections:
         """fields: dotted path -> STRING, BOOLEAN, INTEGER, DOUBLE or UUID."""
         if any(not PATH.match(f) for f in fields):
             raise ValueError("bad field name")
-        columns = "".join(f', "{f}" {KINDS[k]}' for f, k in fields.items())
+        columns = "".join(f', "{_column(f)}" {KINDS[k]}' for f, k in fields.items())
         self.engine.execute(f'CREATE TABLE {self._table(name)} ("{id_field}" VARCHAR, "_doc" JSON{columns}, PRIMARY KEY "{id_field}")')
         for index in indexes:
             self.create_index(name, index)
@@ -45,28 +50,29 @@ class Collections:
 
     def fields(self, name: str) -> dict[str, str]:
         t = self.engine.table(f"doc_{name}")
-        return {c.name: c.kind for c in t.columns if c.name not in (t.key[0], "_doc")}
+        return {c.name.replace("/", "."): c.kind for c in t.columns if c.name not in (t.key[0], "_doc")}
 
     def names(self) -> list[str]:
         return sorted(t[4:] for t in self.engine.now.tables if t.startswith("doc_"))
 
     def add_field(self, name: str, field: str, kind: str) -> None:
         """Documents that are there keep NULL."""
-        self.engine.execute(f'ALTER TABLE {self._table(name)} ADD COLUMN "{field}" {KINDS[kind]}')
+        self.engine.execute(f'ALTER TABLE {self._table(name)} ADD COLUMN "{_column(field)}" {KINDS[kind]}')
 
     def remove_field(self, name: str, field: str) -> None:
-        self.engine.execute(f'ALTER TABLE {self._table(name)} DROP COLUMN "{field}"')
+        self.engine.execute(f'ALTER TABLE {self._table(name)} DROP COLUMN "{_column(field)}"')
 
     def create_index(self, name: str, fields: Sequence[str], unique: bool = False) -> None:
-        self.engine.execute(f"CREATE {'UNIQUE ' if unique else ''}INDEX ON {self._table(name)} ({', '.join(chr(34) + f + chr(34) for f in fields)})")
+        self.engine.execute(f"CREATE {'UNIQUE ' if unique else ''}INDEX ON {self._table(name)} ({', '.join(chr(34) + _column(f) + chr(34) for f in fields)})")
 
     def delete_index(self, name: str, fields: Sequence[str]) -> None:
-        self.engine.execute(f"DROP INDEX ON {self._table(name)} ({', '.join(chr(34) + f + chr(34) for f in fields)})")
+        self.engine.execute(f"DROP INDEX ON {self._table(name)} ({', '.join(chr(34) + _column(f) + chr(34) for f in fields)})")
 
     def _rows(self, name: str, raw: DataFrame) -> str:
         """raw: the id and _doc. Registers the rows with their fields; the name to select from."""
         sparks = {K.VARCHAR: "string", K.BOOLEAN: "boolean", K.INTEGER: "bigint", K.FLOAT: "double", K.UUID: "string"}
-        self.engine.resolved["incoming"] = documents.extracted(raw, {f: sparks[k] for f, k in self.fields(name).items()})
+        found = documents.extracted(raw, {f: sparks[k] for f, k in self.fields(name).items()})
+        self.engine.resolved["incoming"] = found.toDF(*[_column(c) for c in found.columns])
         return "incoming"
 
     def insert(self, name: str, docs: Sequence[dict]) -> list[str]:
@@ -94,10 +100,14 @@ class Collections:
         known = {*self.fields(name), *self.engine.table(f"doc_{name}").key}
         if unknown := {c.field for e in expressions for c in e} - known:
             raise ValueError(f"not a field: {', '.join(sorted(unknown))}")
-        return documents.search(self.current(name), expressions, **more)
+        own = [[Comparison(_column(c.field), c.op, c.value) for c in e] for e in expressions]
+        if "order" in more:
+            more["order"] = [(_column(f), down) for f, down in more["order"]]
+        found = documents.search(self.current(name), own, **more)
+        return found.toDF(*[c.replace("/", ".") for c in found.columns])
 
     def count(self, name: str, expressions: Sequence[Sequence[Comparison]] = (), limit: int = 0) -> int:
-        return documents.count(self.current(name), expressions, limit).first()[0]
+        return self.search(name, expressions, limit=limit).count()
 
     def replace(self, name: str, expressions: Sequence[Sequence[Comparison]], doc: dict, **more) -> int:
         """Documents that match become doc, under their ids, as a new revision."""
