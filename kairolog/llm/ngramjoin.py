@@ -4,7 +4,8 @@ Sets of word shingles are grouped in size bands. Within a band, every token is h
 set is cut into M subsets. Sets of Jaccard >= 3/4 differ in at most d = (|r| + |s|) / 7 tokens, so in at most d
 segments. Of each set the segments are ordered from the hottest (empty ones first) to the rarest, by one order for
 all sets; if a pair agrees in at least M - d segments, its rarest agreeing segment is among the |r| / 3 + 1 rarest of
-both. Only those are indexed. Small sets may take fewer segments, each with its one-deletion neighbourhood, which
+both. Only those, and SPARE more, are indexed, so a pair shares a known number of entries, and pairs with fewer need no
+look. Small sets may take fewer segments, each with its one-deletion neighbourhood, which
 tolerate one difference each: so d / 2 + 1 segments, rounded down, are enough. Each band takes what costs less.
 
 Sets that share an index entry are candidates and are verified exactly. A first round verifies for each document its
@@ -35,6 +36,10 @@ HOT_SHARE, HOTTEST = 0.002, 100_000
 BLOCK, BUCKET = 4096, 16 << 20
 #: Up to this size a group of sets with one entry gives all its pairs; beyond, its members with the first at once, and the rest when components are known.
 PAIRED = 8
+#: Of a set's tokens, the part by which more segments are indexed than a pair needs to meet.
+SPARE = 12
+#: Bands up to this one may take deletions: beyond, an exact segment can be as rare for fewer entries.
+SMALL_BAND = 4
 #: What an expected candidate costs against an index entry, in the choice of a band's way.
 CANDIDATE = 20
 
@@ -68,7 +73,12 @@ def allocation(band: int, heat: Heat) -> int:
     whole = differ // 2 + 1
     exact = (n // 3 + 1) * (1 + CANDIDATE * heat.share)
     deletions = (n + whole) * (1 + CANDIDATE * heat.share ** max(1, n / whole - 1))
-    return -whole if differ and deletions < exact else max(2, 2 << band)
+    return -whole if differ and band <= SMALL_BAND and deletions < exact else max(2, 2 << band)
+
+
+def kept(n: int) -> int:
+    """Segments of a set of n tokens that are indexed."""
+    return n // 3 + 1 + n // SPARE
 
 
 def entries(tokens: np.ndarray, heat: Heat, ways: dict[int, int]) -> np.ndarray:
@@ -94,13 +104,13 @@ def entries(tokens: np.ndarray, heat: Heat, ways: dict[int, int]) -> np.ndarray:
             if len(names) < m:  # empty segments: partners may hold one token more there
                 out.append(mix(mix(np.setdiff1d(np.arange(m, dtype=np.uint64), names) ^ salt)))
             continue
-        kept = n // 3 + 1
+        most = min(kept(n), m)
         marks = mix(sums + mix(names ^ salt))
-        if kept < len(marks):
-            rare = np.lexsort((marks, np.minimum.reduceat(hot[order], first)))[:kept]
+        if most < len(marks):
+            rare = np.lexsort((marks, np.minimum.reduceat(hot[order], first)))[:most]
             marks = marks[rare]
-        elif kept > len(marks):  # as few segments have a token, empty ones count too, from the first
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), names)[: kept - len(marks)]
+        elif most > len(marks):  # as few segments have a token, empty ones count too, from the first
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), names)[: most - len(marks)]
             marks = np.concatenate((marks, mix(mix(empty ^ salt))))
         out.append(marks)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -181,13 +191,13 @@ def indexed(texts: DataFrame, heat: Heat, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket long, kind int, content binary")
 
 
-FOUND = "kind int, a long, b long, n long, digest binary, members array<long>"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("members", pa.list_(pa.int64()))])
+FOUND = "kind int, a long, b long, n long, star long, digest binary, members array<long>"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("star", pa.int64()), ("digest", pa.binary()), ("members", pa.list_(pa.int64()))])
 
 
 def candidates_of(table: pa.Table) -> pa.Table:
-    """Of one bucket. Kind 1: node a, digest, size n. Kind 2: a pair (a, b), a < b, with n shared entries. Kind 3: the
-    members of a large group."""
+    """Of one bucket. Kind 1: node a, digest, size n. Kind 2: a pair (a, b), a < b, that shares n entries of small groups
+    and, a being their first, `star` of large ones. Kind 3: the members of n large groups."""
     docs, marks, sized = [], [], []
     for kind, raw in zip(table["kind"].to_pylist(), table["content"], strict=True):
         raw = raw.as_buffer()
@@ -202,7 +212,7 @@ def candidates_of(table: pa.Table) -> pa.Table:
     parts = []
     for nodes, n, digests in sized:
         w = len(digests) // max(len(nodes), 1)
-        parts.append(pa.table({"kind": pa.array(np.full(len(nodes), 1, np.int32)), "a": nodes, "b": nodes, "n": n, "digest": pa.array([digests[i * w : (i + 1) * w] for i in range(len(nodes))], pa.binary()), "members": pa.nulls(len(nodes), pa.list_(pa.int64()))}, FOUND_ARROW))
+        parts.append(pa.table({"kind": pa.array(np.full(len(nodes), 1, np.int32)), "a": nodes, "b": nodes, "n": n, "star": np.zeros(len(nodes), np.int64), "digest": pa.array([digests[i * w : (i + 1) * w] for i in range(len(nodes))], pa.binary()), "members": pa.nulls(len(nodes), pa.list_(pa.int64()))}, FOUND_ARROW))
     if docs:
         names, doc = np.unique(np.concatenate(docs), return_inverse=True)
         mark = np.concatenate(marks)
@@ -210,24 +220,28 @@ def candidates_of(table: pa.Table) -> pa.Table:
         doc, mark = doc[order], mark[order]
         first = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
         sizes = np.diff(np.append(first, len(mark)))
-        found, lists = [], {}
+        found, stars, lists = [], [], {}
         for g in range(2, PAIRED + 1):
             at = first[sizes == g]
             for i, j in combinations(range(g), 2) if len(at) else ():
                 found.append(doc[at + i] * len(names) + doc[at + j])
         for s, g in zip(first[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist(), strict=True):
             own = np.unique(doc[s : s + g])
-            found.append(own[0] * len(names) + own[1:])
-            lists.setdefault(own.tobytes(), own)
-        if found:
-            pair, n = np.unique(np.concatenate(found), return_counts=True)
+            stars.append(own[0] * len(names) + own[1:])
+            same = lists.setdefault(own.tobytes(), [own, 0])
+            same[1] += 1
+        if found or stars:
+            plain = sum(map(len, found))
+            pair, place = np.unique(np.concatenate([*found, *stars]), return_inverse=True)
+            n = np.bincount(place[:plain], minlength=len(pair))
+            star = np.bincount(place[plain:], minlength=len(pair))
             a, b = names[pair // len(names)], names[pair % len(names)]
             apart = a != b
             k = int(apart.sum())
-            parts.append(pa.table({"kind": pa.array(np.full(k, 2, np.int32)), "a": a[apart], "b": b[apart], "n": n[apart], "digest": pa.nulls(k, pa.binary()), "members": pa.nulls(k, pa.list_(pa.int64()))}, FOUND_ARROW))
+            parts.append(pa.table({"kind": pa.array(np.full(k, 2, np.int32)), "a": a[apart], "b": b[apart], "n": n[apart], "star": star[apart], "digest": pa.nulls(k, pa.binary()), "members": pa.nulls(k, pa.list_(pa.int64()))}, FOUND_ARROW))
         if lists:
             k = len(lists)
-            parts.append(pa.table({"kind": pa.array(np.full(k, 3, np.int32)), "a": pa.nulls(k, pa.int64()), "b": pa.nulls(k, pa.int64()), "n": pa.array([len(x) for x in lists.values()]), "digest": pa.nulls(k, pa.binary()), "members": pa.array([names[x] for x in lists.values()], pa.list_(pa.int64()))}, FOUND_ARROW))
+            parts.append(pa.table({"kind": pa.array(np.full(k, 3, np.int32)), "a": pa.nulls(k, pa.int64()), "b": pa.nulls(k, pa.int64()), "n": pa.array([n for _, n in lists.values()]), "star": pa.array(np.zeros(k, np.int64)), "digest": pa.nulls(k, pa.binary()), "members": pa.array([names[x] for x, _ in lists.values()], pa.list_(pa.int64()))}, FOUND_ARROW))
     return pa.concat_tables(parts) if parts else FOUND_ARROW.empty_table()
 
 
@@ -267,29 +281,38 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     texts = d.join(reps, ["digest", "node"]).select("node", "digest", "text")
     found = indexed(texts, heat, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, FOUND)
     found = saved(found, f"{folder}/found")
-    pairs = saved(found.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")), f"{folder}/pairs")
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
+    sizes = found.filter("kind = 1").select("digest", F.col("n").alias("n_shingles"), F.col("a").alias("rep")).distinct()
+    node_sizes = saved(sizes.groupBy(F.col("rep").alias("node")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), f"{folder}/sizes")
+
+    def possible(pairs: DataFrame, shared: str) -> DataFrame:
+        """Pairs whose sizes and shared entries allow a link: each has kept() of its segments, and all but one for each
+        token by which they differ agree. Where deletions are indexed, one entry is enough."""
+        a, b = (node_sizes.select(F.col("node").alias(x), F.col("least").alias(f"l{x}"), F.col("most").alias(f"m{x}")) for x in "ab")
+        segments = lambda x: f"(l{x} div 3 + 1 + l{x} div {SPARE})"
+        need = f"CASE WHEN least(la, lb) < {2 << SMALL_BAND} THEN 1 ELSE greatest(1, least({segments('a')}, {segments('b')}) - (ma + mb) div 7) END"
+        return pairs.join(a, "a").join(b, "b").filter(f"100 * ma >= {PERCENT} * lb and 100 * mb >= {PERCENT} * la and {shared} >= {need}").select(*pairs.columns)
+
+    pairs = saved(found.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("star").alias("star")), f"{folder}/pairs")
+    likely = possible(pairs.withColumn("all", F.col("n") + F.col("star")), "all")
+    best = likely.groupBy("b").agg(F.max(F.struct("all", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
+    best = saved(best, f"{folder}/best")
     plain = d.select("node", "text")
-    first = saved(verified(saved(best, f"{folder}/best"), plain), f"{folder}/first")
+    first = saved(verified(best, plain), f"{folder}/first")
     labels = components(first, f"{folder}/first-components")
 
     def labelled(x: DataFrame, of: str, name: str) -> DataFrame:
         return x.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    tried = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    open_pairs = labelled(labelled(tried, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
-    # members of large groups in different components: each list once, by component
-    lists = found.filter("kind = 3").select("members").distinct().withColumn("id", F.xxhash64("members"))
-    in_list = labelled(lists.select("id", F.explode("members").alias("node")), "node", "x")
+    open_pairs = labelled(labelled(pairs.filter("n > 0").select("a", "b", "n"), "a", "x"), "b", "y").filter("x <> y").select("a", "b", "n")
+    # members of large groups in different components: each list once, with the number of its groups
+    lists = found.filter("kind = 3").groupBy("members").agg(F.sum("n").alias("n")).withColumn("id", F.xxhash64("members"))
+    in_list = labelled(lists.select("id", "n", F.explode("members").alias("node")), "node", "x")
     mixed = in_list.groupBy("id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select("id")
     rest = in_list.join(mixed, "id")
     other = rest.select("id", F.col("node").alias("b"), F.col("x").alias("y"))
-    across = rest.withColumnRenamed("node", "a").join(other, "id").filter("x <> y and a < b").select("a", "b").distinct()
-    left = saved(open_pairs.union(across).distinct(), f"{folder}/open")
-    sizes = found.filter("kind = 1").select("digest", F.col("n").alias("n_shingles"), F.col("a").alias("rep")).distinct()
-    node_sizes = sizes.groupBy(F.col("rep").alias("node")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    near = left.join(node_sizes.select(F.col("node").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma")), "a").join(node_sizes.select(F.col("node").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb")), "b")
-    near = saved(near.filter(f"100 * ma >= {PERCENT} * lb and 100 * mb >= {PERCENT} * la").select("a", "b"), f"{folder}/near")
+    across = rest.withColumnRenamed("node", "a").join(other, "id").filter("x <> y and a < b").select("a", "b", "n")
+    shared = open_pairs.union(across).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    near = saved(possible(shared, "n").join(best, ["a", "b"], "left_anti").select("a", "b"), f"{folder}/near")
     links = first.union(verified(near, plain))
     labels = components(links, f"{folder}/components")
     by_text = sizes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
