@@ -6,17 +6,22 @@ There one suffix array is built over the distinct segments: suffixes smaller tha
 directly, the others are induced by scanning the buckets of first bytes; adjacent common prefixes of 50 bytes then give
 the groups of equal strings, and each group's least key tells which copies go.
 
-A segment that occurs again within a block of documents goes to its bucket once, with its least key; for the others
+A first pass exchanges only the 16-grams of each block, a few bytes each, and learns which of them two documents have;
+the second pass sends the segments of those. A segment that occurs again within a block of documents goes to its bucket once, with its least key; for the others
 the block already knows an earlier copy. So a passage in very many documents costs one segment a block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import zstandard
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,77 +166,161 @@ ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("content", pa.b
 SPANS = pa.schema([("node", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
 
-def dealt(texts: DataFrame, buckets: int) -> DataFrame:
-    """texts: node, tag, text. Rows (bucket, kind, content): segments of a block (kind 0), spans that the block already
-    knows to repeat (kind 1)."""
-
-    def block(nodes: list[tuple[int, int, int]], parts: list[bytes], zip_: zstandard.ZstdCompressor) -> list[tuple]:
-        """nodes: node, tag and offset in its text, of each part."""
-        sizes = np.array([len(p) for p in parts])
-        starts = np.cumsum(sizes) - sizes
-        raw = b"".join(parts)
-        data = np.frombuffer(raw, np.uint8)
-        text, first, last, gram = segments(data, starts, sizes)
-        if not len(text):
-            return []
-        key = np.array([x[0] for x in nodes], np.int64)
-        base = np.array([x[2] for x in nodes], np.int64) - starts
-        size = last - first + LENGTH
-        content = _hashes(data, first, size)
-        order = np.lexsort((key[text], content))
-        lead = np.concatenate(([True], content[order][1:] != content[order][:-1]))
-        least = np.repeat(key[text[order]][lead], np.diff(np.append(np.flatnonzero(lead), len(order))))
-        known = order[~lead & (key[text[order]] > least)]
-        # of equal segments with the least key one is enough to find out; the others get the same answer, so all go
-        sent = np.sort(order[lead | (key[text[order]] == least)])
-        rows = []
-        if len(known):
-            known.sort()
-            t = text[known]
-            spans = np.stack((key[t], np.array([x[1] for x in nodes], np.int64)[t], first[known] + base[t], size[known]), 1)
-            rows.append((int(gram[known[0]] % np.uint64(buckets)), 1, zip_.compress(spans.astype("<i8").tobytes())))
-        bucket = ((mix(gram[sent]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        by = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            mine = sent[by[cut[b] : cut[b + 1]]]
-            used, t = np.unique(text[mine], return_inverse=True)
-            head = np.array([len(used), len(mine)], "<i8").tobytes() + np.array([nodes[u][:2] for u in used], "<i8").tobytes()
-            begin, end = first[mine].tolist(), (last[mine] + LENGTH).tolist()
-            rows.append((b, 0, zip_.compress(head + t.astype("<u4").tobytes() + (first[mine] + base[text[mine]]).astype("<u8").tobytes() + size[mine].astype("<u1").tobytes() + (gram[mine] >> np.uint64(32)).astype("<u4").tobytes() + b"".join([raw[x:y] for x, y in zip(begin, end, strict=True)]))))
-        return rows
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """Texts (node, tag, text) in blocks: of each part its node and tag, what turns a place in the block into one in its
+    text, the block's bytes, and the parts' sizes. Long texts lie in several parts, which share all but one byte of a
+    string."""
+    names: list[tuple[int, int, int]] = []
+    parts: list[bytes] = []
+    size = 0
+
+    def block():
+        table, sizes = np.array(names, np.int64).reshape(-1, 3), np.array([len(p) for p in parts])
+        return table[:, 0], table[:, 1], table[:, 2] - (np.cumsum(sizes) - sizes), b"".join(parts), sizes
+
+    for batch in batches:
+        for node, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = text.as_buffer().to_pybytes()
+            for at in range(0, max(1, len(raw) - LENGTH + 1), BLOCK):
+                names.append((node, tag, at))
+                parts.append(raw[at : at + BLOCK + LENGTH - 1])
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    yield block()
+                    names, parts, size = [], [], 0
+    if parts:
+        yield block()
+
+
+def _segments_of(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    return segments(np.frombuffer(raw, np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+
+def _placed(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a 16-gram, and the number that tells it apart there (others with it only cost time)."""
+    h = mix(gram)
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), h & np.uint64(0xFFFFFFFF)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte of their places, which compresses well."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.uint64))
+
+
+ASKED = "bucket long, part long, block long, content binary"
+ANSWERS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("bucket", pa.int64()), ("check", pa.int64()), ("bits", pa.binary())])
+
+
+def asked(texts: DataFrame, buckets: int) -> DataFrame:
+    """First pass: the distinct 16-grams of each block, by bucket, and which of them two nodes of the block share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=3)
-        nodes: list[tuple[int, int, int]] = []
-        parts: list[bytes] = []
-        size = 0
+        zip_, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        for number, (node, _, _, raw, sizes) in enumerate(_blocks(batches)):
+            text, _, _, gram = _segments_of(raw, sizes)
+            bucket, value = _placed(gram, buckets)
+            order = np.lexsort((node[text], value, bucket))
+            b, v, n = bucket[order], value[order], node[text][order]
+            if not len(b):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (v[1:] != v[:-1]))))
+            last = np.append(first[1:], len(b)) - 1
+            several = n[first] != n[last]
+            b, v = b[first], v[first]
+            cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(x, part, number, zip_.compress(np.array([cut[x + 1] - cut[x]], "<i8").tobytes() + np.packbits(several[cut[x] : cut[x + 1]]).tobytes() + _planes(v[cut[x] : cut[x + 1]]))) for x in np.flatnonzero(np.diff(cut)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "part", "block", "content"])
+
+    return texts.mapInArrow(run, ASKED)
+
+
+def answered(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each block a bit for each of its 16-grams, whether two nodes have it; check tells the list."""
+    unzip, values, flags = zstandard.ZstdDecompressor(), [], []
+    for packed in table["content"].to_pylist():
+        raw = unzip.decompress(packed)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        bits = -(-n // 8)
+        flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8))[:n].astype(bool))
+        values.append(_from_planes(raw[8 + bits :]))
+    every, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = count > 1
+    shared[place[np.concatenate(flags)]] = True
+    out, at = [], 0
+    for v in values:
+        out.append((zlib.crc32(v.tobytes()), np.packbits(shared[place[at : at + len(v)]]).tobytes()))
+        at += len(v)
+    return pa.table({"part": table["part"], "block": table["block"], "bucket": table["bucket"], "check": pa.array([c for c, _ in out], pa.int64()), "bits": pa.array([b for _, b in out], pa.binary())}, ANSWERS)
+
+
+def dealt(texts: DataFrame, buckets: int, answers: str) -> DataFrame:
+    """Second pass. Rows (bucket, kind, content): segments of a block (kind 0) whose 16-gram two nodes have, by the table
+    of answers (where it has none for a block, as if its rows came in another order, all go); and spans that the block
+    itself knows to repeat (kind 1)."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = block(nodes, parts, zip_)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        files, inner = pafs.FileSystem.from_uri(answers)
+        folder = f"{inner}/p={part}"
+        found = pads.dataset(folder, filesystem=files, format="parquet").to_table().to_pylist() if files.get_file_info(folder).type == pafs.FileType.Directory else []
+        known_bits = {(r["block"], r["bucket"]): (r["check"], r["bits"]) for r in found}
+        for number, (node, tag, base, raw, sizes) in enumerate(_blocks(batches)):
+            text, first, last, gram = _segments_of(raw, sizes)
+            if not len(text):
+                continue
+            bucket, value = _placed(gram, buckets)
+            order = np.lexsort((value, bucket))
+            b, v = bucket[order], value[order]
+            lead = np.concatenate(([True], (b[1:] != b[:-1]) | (v[1:] != v[:-1])))
+            distinct = np.flatnonzero(lead)
+            cut = np.searchsorted(b[distinct], np.arange(buckets + 1, dtype=np.uint64))
+            asked_for = np.ones(len(distinct), bool)
+            for x in np.flatnonzero(np.diff(cut)).tolist():
+                check, bits = known_bits.get((number, x), (None, None))
+                own = slice(cut[x], cut[x + 1])
+                if check == zlib.crc32(v[distinct[own]].tobytes()):
+                    asked_for[own] = np.unpackbits(np.frombuffer(bits, np.uint8))[: cut[x + 1] - cut[x]]
+            keep = np.sort(order[asked_for[np.cumsum(lead) - 1]])
+            if not len(keep):
+                continue
+            text, first, last, gram, bucket = text[keep], first[keep], last[keep], gram[keep], bucket[keep]
+            key, size = node[text], last - first + LENGTH
+            content = _hashes(np.frombuffer(raw, np.uint8), first, size)
+            order = np.lexsort((key, content))
+            lead = np.concatenate(([True], content[order][1:] != content[order][:-1]))
+            least = np.repeat(key[order][lead], np.diff(np.append(np.flatnonzero(lead), len(order))))
+            # of equal segments those with the least key go to find out; for the others the block knows an earlier copy
+            known, sent = np.sort(order[key[order] > least]), np.sort(order[key[order] == least])
+            rows = []
+            if len(known):
+                t, start, end = text[known], first[known], last[known] + LENGTH
+                new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (start[1:] > end[:-1]))))
+                stop = np.append(new[1:], len(t)) - 1
+                spans = np.stack((node[t[new]], tag[t[new]], start[new] + base[t[new]], end[stop] - start[new]), 1)
+                rows.append((number % buckets, 1, zip_.compress(spans.astype("<i8").tobytes())))
+            by = np.argsort(bucket[sent], kind="stable")
+            cut = np.searchsorted(bucket[sent][by], np.arange(buckets + 1, dtype=np.uint64))
+            for x in np.flatnonzero(np.diff(cut)).tolist():
+                mine = sent[by[cut[x] : cut[x + 1]]]
+                used, t = np.unique(text[mine], return_inverse=True)
+                head = np.array([len(used), len(mine)], "<i8").tobytes() + np.stack((node[used], tag[used]), 1).astype("<i8").tobytes()
+                begin, end = first[mine].tolist(), (last[mine] + LENGTH).tolist()
+                starts = (first[mine] + base[text[mine]]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+                rows.append((x, 0, zip_.compress(head + t.astype("<u4").tobytes() + starts + size[mine].astype("<u1").tobytes() + b"".join([raw[y:z] for y, z in zip(begin, end, strict=True)]))))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist([dict(zip(ROWS.names, r, strict=True)) for r in rows[i : i + 64]], ROWS)
 
-        for batch in batches:
-            for node, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for at in range(0, max(1, len(raw) - LENGTH + 1), BLOCK):
-                    nodes.append((node, tag, at))
-                    parts.append(raw[at : at + BLOCK + LENGTH - 1])
-                    size += len(parts[-1])
-                    if size >= BLOCK:
-                        yield from flush()
-                        nodes, parts, size = [], [], 0
-        if parts:
-            yield from flush()
-
     return texts.mapInArrow(run, "bucket long, kind int, content binary")
 
 
 def repeats_of(table: pa.Table) -> pa.Table:
     """Of one bucket: the spans of each text (node, tag) whose 50-byte strings lie in a text of a smaller node."""
     unzip = zstandard.ZstdDecompressor()
-    out, nodes, tags, starts, sizes, grams, contents = [], [], [], [], [], [], []
+    out, nodes, tags, starts, sizes, contents = [], [], [], [], [], []
     for kind, packed in zip(table["kind"].to_pylist(), table["content"].to_pylist(), strict=True):
         raw = unzip.decompress(packed)
         if kind:
@@ -243,25 +332,12 @@ def repeats_of(table: pa.Table) -> pa.Table:
         of = np.frombuffer(raw, "<u4", m, at)
         nodes.append(names[of, 0])
         tags.append(names[of, 1])
-        starts.append(np.frombuffer(raw, "<u8", m, at + 4 * m).astype(np.int64))
+        starts.append(np.frombuffer(raw, np.uint8, 8 * m, at + 4 * m).reshape(8, m).T.copy().view("<i8").ravel())
         sizes.append(np.frombuffer(raw, "<u1", m, at + 12 * m).astype(np.int64))
-        grams.append(np.frombuffer(raw, "<u4", m, at + 13 * m))
-        contents.append(np.frombuffer(raw, np.uint8, -1, at + 17 * m))
+        contents.append(np.frombuffer(raw, np.uint8, -1, at + 13 * m))
     if nodes:
-        node, tag, start, size, gram = map(np.concatenate, (nodes, tags, starts, sizes, grams))
-        data = np.concatenate(contents)
-        del contents
-        begin = np.cumsum(size) - size
-        # only 16-grams of two nodes or more can have repeats
-        order = np.lexsort((node, gram))
-        g, o = gram[order], node[order]
-        lead = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        count = np.diff(np.append(lead, len(g)))
-        shared = np.zeros(len(g), bool)
-        shared[order] = np.repeat(o[lead] != o[lead + count - 1], count)
-        kept = np.flatnonzero(shared)
-        if len(kept):
-            out.append(_found(node[kept], tag[kept], start[kept], size[kept], begin[kept], data))
+        node, tag, start, size = map(np.concatenate, (nodes, tags, starts, sizes))
+        out.append(_found(node, tag, start, size, np.cumsum(size) - size, np.concatenate(contents)))
     spans = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
     return pa.table({name: spans[:, i] for i, name in enumerate(SPANS.names)}, SPANS)
 
@@ -323,9 +399,13 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     d = d.withColumn("tag", F.xxhash64("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * EXPANSION / BUCKET))
-    rows = dealt(d.filter("node is not null").select("node", "tag", F.col("text").cast("binary").alias("text")), buckets)
+    folder = workspace(spark, "repeats")
+    texts = d.filter("node is not null").select("node", "tag", F.col("text").cast("binary").alias("text"))
+    replies = asked(texts, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answered, "part long, block long, bucket long, check long, bits binary")
+    replies.withColumn("p", F.col("part")).repartition("p").write.partitionBy("p").parquet(f"{folder}/answers")
+    rows = dealt(texts, buckets, f"{folder}/answers")
     spans = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_of, "node long, tag long, start long, length long")
-    spans = saved(spans, f"{workspace(spark, 'repeats')}/spans")
+    spans = saved(spans, f"{folder}/spans")
     per_text = spans.groupBy("node", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
