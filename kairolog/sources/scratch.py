@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="kairolog-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder is set where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kairolog-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """A new path under spark.checkpoint.dir; in a temporary folder of this process where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{folder.rstrip('/')}/kairolog/{name}-{uuid.uuid4().hex}"
 
 

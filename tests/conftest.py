@@ -11,9 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     made = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.sql.files.maxPartitionBytes", "256k").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
+        .config("spark.sql.files.maxPartitionBytes", "256k").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
-    made.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield made
     made.stop()
