@@ -59,8 +59,7 @@ def _shared_out(nodes: DataFrame, parent: tuple[str, ...], child: str) -> DataFr
     weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     n = nodes.withColumns({"left": F.col("budget") - before, "above": weight})
     n = n.withColumn("full", F.col("room") * F.col("above") <= F.col("weight") * F.col("left"))
-    none_full = F.coalesce(F.min(F.when(~F.col("full"), F.struct(F.col("room") / F.col("weight"), F.col(child), "left", "above"))).over(Window.partitionBy(*parent)))
-    n = n.withColumn("first", none_full)
+    n = n.withColumn("first", F.min(F.when(~F.col("full"), F.struct(F.col("room") / F.col("weight"), F.col(child), "left", "above"))).over(Window.partitionBy(*parent)))
     return n.withColumn("given", F.when(F.col("full"), F.col("room")).otherwise(F.expr("weight * first.left div first.above"))).drop("left", "above", "full", "first")
 
 
