@@ -97,6 +97,8 @@ SQL: dict[str, tuple[str, str]] = {
     "join_lateral": ("SELECT c.c_custkey, x.n FROM customer c, LATERAL (SELECT COUNT(*) AS n FROM orders o WHERE o.o_custkey = c.c_custkey) AS x", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
     "join_subquery": ("SELECT n.n_name, q.n FROM nation n JOIN (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) q ON q.k = n.n_nationkey", "SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"),
     "multi_join": ("SELECT r.r_name, COUNT(*) AS n FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY r.r_name", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "semi": ("SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)", "SELECT n_name FROM nation SEMI JOIN supplier ON s_nationkey = n_nationkey"),
+    "anti": ("SELECT n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)", "SELECT n_name FROM nation ANTI JOIN supplier ON s_nationkey = n_nationkey"),
     # aggregation
     "agg_count_star": ("SELECT COUNT(*) AS n FROM lineitem", "SELECT count(*) AS n FROM lineitem"),
     "agg_count_col": ("SELECT COUNT(lang) AS n FROM documents", "SELECT count(lang) AS n FROM documents"),
@@ -212,6 +214,8 @@ CHANGES: dict[str, tuple[str, str]] = {
     "system_tables": (f"{CUSTOMER} SELECT c.relname, a.attname FROM pg_class c JOIN pg_attribute a ON a.attrelid = c.oid", "SELECT 't' AS relname, unnest(['k', 'name', 'nation', 'bal']) AS attname"),
     "describe": (f"{CUSTOMER} SELECT table_name, column_name, data_type FROM information_schema.columns", "SELECT 't' AS table_name, * FROM (VALUES ('k', 'bigint'), ('name', 'character varying'), ('nation', 'bigint'), ('bal', 'double precision')) x(column_name, data_type)"),
     "grants": (f"{CUSTOMER} CREATE USER ann WITH PASSWORD 'x' READWRITE; GRANT SELECT, INSERT ON DATABASE defaultdb TO USER ann; REVOKE INSERT ON DATABASE defaultdb FROM USER ann; SELECT * FROM grants('ann')", "SELECT 'ann' AS \"user\", 'defaultdb' AS database, 'SELECT' AS privilege"),
+    "db_admin": ("CREATE DATABASE other; USE DATABASE other; CREATE TABLE x (a INTEGER, PRIMARY KEY a); SELECT name FROM tables()", "SELECT 'x' AS name"),
+    "user_admin": ("CREATE USER bob WITH PASSWORD 'p' ADMIN; CREATE USER cy WITH PASSWORD 'p'; ALTER USER cy WITH PASSWORD 'q' READWRITE; DROP USER bob; SELECT * FROM users()", "SELECT 'cy' AS name, 'READWRITE' AS permission"),
     "join_temporal": (f"{CUSTOMER} UPDATE t SET bal = bal + 1 WHERE nation = 3; SELECT n.k, o.bal AS old, n.bal AS now FROM t n JOIN t BEFORE TX 3 AS o ON o.k = n.k WHERE o.bal <> n.bal", f"SELECT k, bal AS old, bal + 1 AS now FROM ({SAME}) WHERE nation = 3"),
     "cdc_diff": (f"{CUSTOMER} UPDATE t SET nation = 1000 WHERE nation = 3; DELETE FROM t WHERE nation = 4; SELECT _diff_action, k FROM (DIFF OF t) SINCE TX 3 UNTIL TX 4", f"SELECT CASE nation WHEN 3 THEN 'UPDATE' ELSE 'DELETE' END AS _diff_action, k FROM ({SAME}) WHERE nation IN (3, 4)"),
 }
@@ -377,6 +381,32 @@ def doc_crud(spark, sf_dir):
     return c.search("d", [[Comparison("info.size", "GT", 500)]]).select(F.col("_id").alias("id"), "lang", F.col("`info.size`").alias("size"))
 
 
+def kv_expiry(spark, sf_dir):
+    """Keys that are neither deleted nor expired at the middle of the events' time."""
+    log = kv_log(spark, sf_dir).join(read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("_tx"), "ts"), "_tx").withColumn("expires_at", F.col("ts") + F.expr("INTERVAL 12 HOURS")).drop("ts")
+    at = log.agg(F.max("expires_at")).first()[0] - datetime.timedelta(hours=36)
+    return kv.live(log, now=at).select("key", "value")
+
+
+def storage_backends(spark, sf_dir):
+    """The same rows from each of Parquet's codecs."""
+    path, found = scratch(spark, "codecs"), []
+    for codec in ("snappy", "gzip", "zstd", "uncompressed"):
+        read(spark, sf_dir, "nation").write.option("compression", codec).parquet(f"{path}/{codec}")
+        found.append(spark.read.parquet(f"{path}/{codec}").select(F.lit(codec).alias("codec"), "n_name"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("codec").agg(F.count(F.lit(1)).alias("n"))
+
+
+def auditor(spark, sf_dir):
+    """Each transaction's manifest follows from the one before."""
+    e = engine(spark, sf_dir, True)
+    e.execute(f"{CUSTOMER} DELETE FROM t WHERE nation = 1")
+    return e.db.headers().select("_tx").withColumn("ok", ~F.col("_tx").isin(e.db.verify() or [-1]))
+
+
 def windows_tumbling(spark, sf_dir):
     out = replication.windowed(read(spark, sf_dir, "events"), "1 hour")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
@@ -415,6 +445,9 @@ CALLS: dict[str, tuple[Callable, str | None]] = {
     "stream_index": (stream_index, f"SELECT user_id, event_type, value FROM ({_state(None, None)})"),
     "stream_ttl": (stream_ttl, "SELECT event_id FROM events WHERE ts + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
     "stream_retention": (stream_retention, f"SELECT k, name, nation, CASE WHEN nation = 3 THEN 0.0 ELSE bal END AS bal FROM ({SAME})"),
+    "kv_expiry": (kv_expiry, f"SELECT key, value FROM (SELECT k.*, e.ts + INTERVAL 12 HOURS AS expires_at FROM ({KV}) k JOIN events e ON e.event_id + 1 = k.tx QUALIFY {LAST.format('key')}) WHERE NOT deleted AND expires_at > (SELECT max(ts) - INTERVAL 24 HOURS FROM events)"),
+    "storage_backends": (storage_backends, "SELECT unnest(['snappy', 'gzip', 'zstd', 'uncompressed']) AS codec, (SELECT count(*) FROM nation) AS n"),
+    "auditor": (auditor, "SELECT unnest([1, 2, 3])::BIGINT AS _tx, TRUE AS ok"),
     "windows_tumbling": (windows_tumbling, "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "sink_copy": (sink_copy, "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_nationkey <> 3 THEN c_nationkey::BIGINT END AS nation FROM customer"),
 }
