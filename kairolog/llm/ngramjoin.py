@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairolog.llm.components import components
@@ -37,9 +37,11 @@ BLOCK, BUCKET = 4096, 16 << 20
 #: Up to this size a group of sets with one entry gives all its pairs; beyond, its members with the first at once, and the rest when components are known.
 PAIRED = 8
 #: Of a set's tokens, the part by which more segments are indexed than a pair needs to meet.
-SPARE = 12
+SPARE = 6
 #: Bands up to this one may take deletions: beyond, an exact segment can be as rare for fewer entries.
 SMALL_BAND = 4
+#: Documents of one range that a task verifies against those of another.
+BESIDE = 256
 #: What an expected candidate costs against an index entry, in the choice of a band's way.
 CANDIDATE = 20
 
@@ -116,6 +118,16 @@ def entries(tokens: np.ndarray, heat: Heat, ways: dict[int, int]) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def spare_of(least: str, most: str) -> Column:
+    """Entries that a set shares with any partner, at least: as the smaller of two, it has kept() and differs from one of
+    4/3 its size in a third of its tokens; as the larger, the partner has the fewest entries. One less, for what rounding
+    takes from sizes in between."""
+    own = F.expr(f"{least} div 3 + 1 + {least} div {SPARE} - ({most} + {most} * 100 div {PERCENT}) div 7")
+    low = f"(({PERCENT} * {least} + 99) div 100)"
+    partner = F.expr(f"{low} div 3 + 1 + {low} div {SPARE} - ({low} + {most}) div 7")
+    return F.when(F.col(least) < (4 << SMALL_BAND), F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.least(own, partner) - 1))
+
+
 def find_heat(texts: DataFrame, n_docs: int) -> Heat:
     """The hottest shingles: each task counts its documents and reports those in HOT_SHARE of them or more."""
 
@@ -245,24 +257,45 @@ def candidates_of(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else FOUND_ARROW.empty_table()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose texts' sets have the Jaccard. texts: node, text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = texts.join(small(nodes), "node", "left_semi")
-    left, right = own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), own.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                same = []
-                for x, y in zip(shingle_sets(part.column(2).to_pylist()), shingle_sets(part.column(3).to_pylist()), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    same.append(bool(both) and 100 * both >= PERCENT * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(same))
-
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long").distinct()
+def verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Of the pairs (a, b) those whose texts' sets have the Jaccard. texts: node, text. Nodes that stand in pairs with
+    one another lie in ranges of the least node that each meets, BESIDE at a time; a task gets the pairs of two ranges and
+    each of their texts once, not once for each pair."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("with")).union(pairs.select("b", "a"))
+    near = saved(both.groupBy("node").agg(F.least(F.min("with"), F.col("node")).alias("least"), F.count(F.lit(1)).alias("n")), f"{folder}/nodes")
+    # a range holds nodes of one least neighbour; which part of it, by the node's hash
+    sizes = near.groupBy("least").agg(F.count(F.lit(1)).alias("members"))
+    ranged = near.join(sizes, "least").select("node", F.xxhash64("least", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BESIDE))).alias("range"))
+    ranged = saved(ranged, f"{folder}/ranges")
+    in_ranges = pairs.select("a", "b").join(ranged.select(F.col("node").alias("a"), F.col("range").alias("ra")), "a").join(ranged.select(F.col("node").alias("b"), F.col("range").alias("rb")), "b")
+    in_ranges = saved(in_ranges.select("a", "b", F.xxhash64(F.least("ra", "rb"), F.greatest("ra", "rb")).alias("unit")), f"{folder}/units")
+    sent = in_ranges.select(F.col("a").alias("node"), "unit").union(in_ranges.select("b", "unit")).distinct()
+    own = texts.join(small(near.select("node")), "node", "left_semi")
+    nothing = F.lit(None)
+    rows = own.join(sent, "node").select("unit", "node", "text", nothing.cast("binary").alias("pairs"))
+    listed = in_ranges.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("p")).select("unit", nothing.cast("long").alias("node"), nothing.cast("string").alias("text"), F.col("p").alias("pairs"))
+    rows = rows.withColumn("pairs", nothing.cast(listed.schema["pairs"].dataType)).unionByName(listed)
+
+    def check(table: pa.Table) -> pa.Table:
+        nodes, known = table["node"].to_pylist(), {}
+        with_text = [i for i, k in enumerate(nodes) if k is not None]
+        for at in range(0, len(with_text), 256):
+            some = with_text[at : at + 256]
+            for i, s in zip(some, shingle_sets([table["text"][i].as_py() for i in some]), strict=True):
+                known.setdefault(nodes[i], []).append(s)
+        a, b = [], []
+        for listed in table["pairs"]:
+            for p in listed.as_py() or ():
+                for x in known.get(p["a"], ()):
+                    for y in known.get(p["b"], ()):
+                        if len(x) and len(y) and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+                            met = len(np.intersect1d(x, y, assume_unique=True))
+                            if 100 * met >= PERCENT * (len(x) + len(y) - met):
+                                a.append(p["a"])
+                                b.append(p["b"])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("unit").applyInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,12 +317,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sizes = found.filter("kind = 1").select("digest", F.col("n").alias("n_shingles"), F.col("a").alias("rep")).distinct()
     node_sizes = saved(sizes.groupBy(F.col("rep").alias("node")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), f"{folder}/sizes")
 
-    def possible(pairs: DataFrame, shared: str) -> DataFrame:
-        """Pairs whose sizes and shared entries allow a link: each has kept() of its segments, and all but one for each
-        token by which they differ agree. Where deletions are indexed, one entry is enough."""
-        a, b = (node_sizes.select(F.col("node").alias(x), F.col("least").alias(f"l{x}"), F.col("most").alias(f"m{x}")) for x in "ab")
+    def possible(pairs: DataFrame, shared: str, left_out: str = "0") -> DataFrame:
+        """Pairs whose sizes and shared entries (but those left out) allow a link: each has kept() of its segments, and all
+        but one for each token by which they differ agree. Where deletions are indexed, one entry is enough."""
+        a, b = (node_sizes.select(F.col("node").alias(x), F.col("least").alias(f"l{x}"), F.col("most").alias(f"m{x}"), spare_of("least", "most").alias(f"s{x}")) for x in "ab")
         segments = lambda x: f"(l{x} div 3 + 1 + l{x} div {SPARE})"
-        need = f"CASE WHEN least(la, lb) < {2 << SMALL_BAND} THEN 1 ELSE greatest(1, least({segments('a')}, {segments('b')}) - (ma + mb) div 7) END"
+        need = f"CASE WHEN least(la, lb) < {2 << SMALL_BAND} THEN 1 ELSE greatest(1, least({segments('a')}, {segments('b')}) - (ma + mb) div 7 - {left_out}) END"
         return pairs.join(a, "a").join(b, "b").filter(f"100 * ma >= {PERCENT} * lb and 100 * mb >= {PERCENT} * la and {shared} >= {need}").select(*pairs.columns)
 
     pairs = saved(found.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("star").alias("star")), f"{folder}/pairs")
@@ -297,23 +330,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     best = likely.groupBy("b").agg(F.max(F.struct("all", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
     best = saved(best, f"{folder}/best")
     plain = d.select("node", "text")
-    first = saved(verified(best, plain), f"{folder}/first")
+    first = saved(verified(best, plain, f"{folder}/v1"), f"{folder}/first")
     labels = components(first, f"{folder}/first-components")
 
     def labelled(x: DataFrame, of: str, name: str) -> DataFrame:
         return x.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
     open_pairs = labelled(labelled(pairs.filter("n > 0").select("a", "b", "n"), "a", "x"), "b", "y").filter("x <> y").select("a", "b", "n")
-    # members of large groups in different components: each list once, with the number of its groups
+    # Members of large groups in different components: each list once, with the number of its groups. A set shares at
+    # least `spare` entries with any partner, so it may leave all but one of these, the largest groups first.
     lists = found.filter("kind = 3").groupBy("members").agg(F.sum("n").alias("n")).withColumn("id", F.xxhash64("members"))
-    in_list = labelled(lists.select("id", "n", F.explode("members").alias("node")), "node", "x")
+    in_list = lists.select("id", "n", F.size("members").alias("size"), F.explode("members").alias("node")).join(node_sizes.select("node", spare_of("least", "most").alias("spare")), "node")
+    run = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("size"), "id"))
+    in_list = saved(in_list.withColumn("run", run).filter("run >= spare").select("id", "n", "node"), f"{folder}/lists")
+    in_list = labelled(in_list, "node", "x")
     mixed = in_list.groupBy("id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select("id")
-    rest = in_list.join(mixed, "id")
-    other = rest.select("id", F.col("node").alias("b"), F.col("x").alias("y"))
-    across = rest.withColumnRenamed("node", "a").join(other, "id").filter("x <> y and a < b").select("a", "b", "n")
+    # a list's name with its number of groups in the low byte; where it is more than 255, the pair is looked at anyway
+    named = in_list.join(mixed, "id").withColumn("list", F.col("id").bitwiseAND(F.lit(~255)).bitwiseOR(F.least("n", F.lit(255))))
+    of_node = named.groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("all"))
+    rest = saved(named.select("list", "node", "x").join(of_node, "node").select("list", "node", "x", F.filter("all", lambda y: y < F.col("list")).alias("before"), F.filter("all", lambda y: y >= F.col("list")).alias("from")), f"{folder}/rest")
+    other = rest.select("list", F.col("node").alias("b"), F.col("x").alias("y"), F.col("before").alias("before_b"), F.col("from").alias("from_b"))
+    met = F.expr("x <> y and a < b and not arrays_overlap(before, before_b)")  # each pair in the first list of both only
+    low = F.aggregate(F.array_intersect("from", "from_b"), F.lit(0).cast("long"), lambda n, y: n + F.when(y.bitwiseAND(F.lit(255)) == 255, F.lit(1 << 40)).otherwise(y.bitwiseAND(F.lit(255))))
+    across = rest.withColumnRenamed("node", "a").join(other.withColumnRenamed("list", "list_b"), (F.col("list") == F.col("list_b")) & met).select("a", "b", low.alias("n"))
     shared = open_pairs.union(across).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    near = saved(possible(shared, "n").join(best, ["a", "b"], "left_anti").select("a", "b"), f"{folder}/near")
-    links = first.union(verified(near, plain))
+    near = saved(possible(shared, "n", "(greatest(sa, sb) - 1)").join(best, ["a", "b"], "left_anti").select("a", "b"), f"{folder}/near")
+    links = first.union(verified(near, plain, f"{folder}/v2"))
     labels = components(links, f"{folder}/components")
     by_text = sizes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = narrow.join(by_text, "digest", "left")
