@@ -32,6 +32,8 @@ WINDOW, GRAIN = 4096, 8
 #: Share of a window that a greedy combination must fill; others are chained.
 FILLED = 0.985
 ROUNDS = 400
+#: Documents tokenized at a time.
+TOGETHER = 512
 
 
 def combinations(units: int) -> list[tuple[int, ...]]:
@@ -158,19 +160,19 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, wi
         number, fulls, ranks, before = 0, 0, [0] * (units + 1), [0] * (units + 1)
         name = TaskContext.get().partitionId()
         for batch in batches:
-            keys, out = batch.column(0), []
-            for raw in words.encode(batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw + tail, "<u4")
-                full, rest = divmod(len(ids), window)
-                c = -(-rest // grain)
-                out.append((name, number, len(ids), fulls, full, c, ranks[c], before[c], rest, ids.astype(f"<u{width}").tobytes()))
-                number += 1
-                fulls += full
-                ranks[c] += 1
-                before[c] += rest
-            for at in range(0, len(out), 2048):
-                part = list(zip(*out[at : at + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 2048), *[pa.array(x, pa.int64()) for x in part[:9]], pa.array(part[9], pa.binary())], names=["key", "slice", "number", "tokens", "fulls_before", "fulls", "class", "rank", "before", "rest", "ids"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                keys, texts, out = batch.column(0).slice(at, TOGETHER), batch.column(1).slice(at, TOGETHER).to_pylist(), []
+                for raw in words.encode(texts):
+                    ids = np.frombuffer(raw + tail, "<u4")
+                    full, rest = divmod(len(ids), window)
+                    c = -(-rest // grain)
+                    out.append((name, number, len(ids), fulls, full, c, ranks[c], before[c], rest, ids.astype(f"<u{width}").tobytes()))
+                    number += 1
+                    fulls += full
+                    ranks[c] += 1
+                    before[c] += rest
+                part = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in part[:9]], pa.array(part[9], pa.binary())], names=["key", "slice", "number", "tokens", "fulls_before", "fulls", "class", "rank", "before", "rest", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, slice long, number long, tokens long, fulls_before long, fulls long, class long, rank long, before long, rest long, ids binary")

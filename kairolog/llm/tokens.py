@@ -13,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 NAME = "word_bpe_49k.json"
-#: The tokenizer's own split pattern, with a space before it matters no more: fixed value of the vocabulary file.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's own split pattern (a fixed value of the vocabulary file), for lower-case Latin text: its letters and
+#: numbers are those that OTHER leaves.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 #: Anything but ASCII, Latin letters with one-letter lower case, general punctuation and the euro sign.
 OTHER = re.compile("[^\x00-\x1b\x20-įı-ňŊ-ɏ‐-‧‰-⁞€]")
 #: Words kept in a process; when there are more, all are forgotten. About 200 bytes each.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 TOGETHER = 1 << 20
 
 
@@ -41,6 +42,9 @@ class WordTokenizer:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        # words are lower-cased, normalised and split already; only the model's merges are left to do
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,7 +60,7 @@ class WordTokenizer:
         if len(self.known) + len(words) > KEPT_WORDS:
             self.known.clear()
         new = list(words)
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.merges.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
             raw, at = ids.tobytes(), 0
