@@ -20,8 +20,11 @@ NAME = "word_bpe_49k.json"
 #: The tokenizer's own split pattern (a fixed value of the vocabulary file), for lower-case Latin text: its letters and
 #: numbers are those that OTHER leaves.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
-#: Anything but ASCII, Latin letters with one-letter lower case, general punctuation and the euro sign.
-OTHER = re.compile("[^\x00-\x1b\x20-įı-ňŊ-ɏ‐-‧‰-⁞€]")
+#: ASCII, Latin letters with one-letter lower case, general punctuation and the euro sign.
+_COMMON = re.compile("[\x00-\x1b\x20-įı-ňŊ-ɏ‐-‧‰-⁞€]")
+#: Anything but these, and the capitals among them (Ə, Ɓ and others) whose lower case isn't: SPLIT doesn't know it. One
+#: set of characters, as an alternation is four times slower.
+OTHER = re.compile(f"[^{re.escape(''.join(c for c in map(chr, range(0x2100)) if _COMMON.match(c) and _COMMON.fullmatch(c.lower())))}]")
 #: Words kept in a process; when there are more, all are forgotten. About 200 bytes each.
 KEPT_WORDS = 400_000
 TOGETHER = 1 << 20
