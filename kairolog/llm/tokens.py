@@ -25,8 +25,11 @@ _COMMON = re.compile("[\x00-\x1b\x20-įı-ňŊ-ɏ‐-‧‰-⁞€]")
 #: Anything but these, and the capitals among them (Ə, Ɓ and others) whose lower case isn't: SPLIT doesn't know it. One
 #: set of characters, as an alternation is four times slower.
 OTHER = re.compile(f"[^{re.escape(''.join(c for c in map(chr, range(0x2100)) if _COMMON.match(c) and _COMMON.fullmatch(c.lower())))}]")
-#: Words kept in a process; when there are more, all are forgotten. About 200 bytes each.
+#: Words kept in a process; texts whose new words would make it more begin with none kept. About 200 bytes each. Texts
+#: encoded together may have more words than this: all of theirs are kept until the next.
 KEPT_WORDS = 400_000
+#: New words encoded at a time.
+LEARNT = 50_000
 TOGETHER = 1 << 20
 
 
@@ -59,10 +62,7 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        new = list(words)
+    def _learn(self, new: list[str]) -> None:
         ids = np.array(self.merges.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
@@ -77,10 +77,13 @@ class WordTokenizer:
         plain = [not OTHER.search(x) and not any(s in x for s in self.special) for x in texts]
         words = [SPLIT.findall((x if x.isascii() else unicodedata.normalize("NFC", x)).lower()) if p else [] for x, p in zip(texts, plain, strict=True)]
         every = set().union(*words)
-        if new := every.difference(self.known):
-            self._learn(new)
-            if not self.known.keys() >= every:  # others were forgotten
-                self._learn(every.difference(self.known))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = every
+        listed = list(new)
+        for at in range(0, len(listed), LEARNT):
+            self._learn(listed[at : at + LEARNT])
         get = self.known.__getitem__
         for text, own, p in zip(texts, words, plain, strict=True):
             yield b"".join(map(get, own)) if p else self._whole(text)

@@ -2,6 +2,7 @@
 
 import struct
 
+from kairolog.llm import tokens
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 
@@ -14,3 +15,14 @@ def same_as_library(t: WordTokenizer, texts: list[str]) -> None:
 def test_tokens_of_each_latin_letter():
     """Those too whose lower case lies beyond the letters that the split pattern lists."""
     same_as_library(WordTokenizer(vocabulary_path()), [x for c in map(chr, range(1, 0x2100)) for x in (f"{c}a", f"al{c}", f"a{c}b{c} {c}")])
+
+
+def test_tokens_of_more_words_than_are_kept(monkeypatch):
+    """Some known before, in one text and in texts encoded together; then few again."""
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 20)
+    monkeypatch.setattr(tokens, "LEARNT", 7, raising=False)
+    t = WordTokenizer(vocabulary_path())
+    many = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    for texts in (["waa wab wac"], [" ".join(many)], many, ["waa wab wzz"], [" ".join(many[:15])], [" ".join(many[10:25])]):
+        same_as_library(t, texts)
+    assert len(t.known) <= 20
