@@ -1,7 +1,8 @@
 """Main text of HTML pages by consensus host paths.
 
-Each page's containers are scored by the prose that they hold; the pages of a host vote, in Spark, on the generalised
-tag-class path of the container; then every page is extracted again from the containers on its host's winning path.
+Each page's containers are scored by the prose that they hold, and from the best the page climbs to the one that holds
+the whole article; the pages of a host vote, in Spark, on the generalised tag-class path of that container; then every
+page is extracted again from the containers on its host's winning path.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SAFE = frozenset("html body main article".split())
+#: Parts of an article, never the whole: the container around them is taken.
+PARTS = frozenset("section ul ol dl li dt dd table tbody thead tfoot tr blockquote figure figcaption details center pre p h1 h2 h3 h4 h5 h6".split())
+#: Share of the page's prose from which an article or main element is the article; what else there is lies outside.
+DECLARED = 0.9
 PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd".split())
 
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>?""", re.S)
@@ -154,27 +159,61 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def scores(found: list[Block]) -> dict[str, int]:
-    """For each container path its part of the page's prose, in thousandths: a block counts for its own container, half
-    for the one around that, less what is linked."""
+def _worth(b: Block) -> float:
+    """Its length, less what is linked."""
+    leaf = b.nodes[-1] if b.nodes else None
+    free = 1 - leaf.linked / max(leaf.chars, 1) if leaf else 1
+    return (len(b.text) + 25) * free * free
+
+
+def scores(found: list[Block]) -> dict[str, float]:
+    """For each container path the prose near it: a block counts for its own container, half for the one around that."""
     own: dict[str, float] = defaultdict(float)
     for b in found:
         if b.dropped:
             continue
         holders = [n for n in b.nodes if n.tag not in PROSE or n.tag in ("td", "li") and n is not b.nodes[-1]]
-        leaf = b.nodes[-1] if b.nodes else None
-        free = 1 - leaf.linked / max(leaf.chars, 1) if leaf else 1
-        worth = (len(b.text) + 25) * free * free
+        worth = _worth(b)
         for n, share in zip(reversed(holders), (1.0, 0.5, 0.25), strict=False):
             own[n.path] += worth * share * (1.3 if n.tag in ("article", "main") else 1.0)
-    whole = sum(own.values())
-    return {path: round(1000 * x / whole) for path, x in own.items()} if whole else {}
+    return own
+
+
+def article(found: list[Block]) -> tuple[str, int] | None:
+    """The path of the container that holds the page's article, and its part of the page's prose in thousandths.
+
+    Up from the best by scores(): the outermost article or main around it, if that holds DECLARED of the prose; else the
+    smallest container with all blocks of prose that aren't mostly links."""
+    own = scores(found)
+    if not any(own.values()):
+        return None
+    best = max(own, key=lambda p: (own[p], p))
+    chain = next(b.nodes[: i + 1] for b in found if not b.dropped for i, n in enumerate(b.nodes) if n.path == best)
+    held: dict[str, float] = defaultdict(float)
+    prose: dict[str, int] = defaultdict(int)
+    whole, n_prose = 0.0, 0
+    for b in found:
+        if not b.dropped:
+            worth = _worth(b)
+            unlinked = not b.nodes or 2 * b.nodes[-1].linked <= b.nodes[-1].chars
+            whole += worth
+            n_prose += unlinked
+            for n in b.nodes:
+                held[n.path] += worth
+                prose[n.path] += unlinked
+    at = next((i for i, n in enumerate(chain) if n.tag in ("article", "main") and held[n.path] >= DECLARED * whole), -1)
+    if at < 0:
+        at = len(chain) - 1
+        while at and (chain[at].tag in PARTS or prose[chain[at].path] < n_prose):
+            at -= 1
+    return chain[at].path, round(1000 * held[chain[at].path] / whole)
 
 
 def text_of(found: list[Block], path: str | None) -> str:
-    """The blocks in containers of this path; if the page has none, in its own best container."""
+    """The blocks in containers of this path; if the page has none, in its own article's."""
     for allowed in (0, 1):
-        for at in (path, max((s := scores(found)), key=lambda p: (s[p], p), default=None)):
+        for own in (False, True):
+            at = (article(found) or (None,))[0] if own else path
             if at is not None:
                 lines = [b.text for b in found if b.dropped <= allowed and any(n.path == at for n in b.nodes)]
                 if lines:
@@ -195,7 +234,7 @@ def host_paths(pages: DataFrame, host: str, html_col: str) -> DataFrame:
     @F.pandas_udf("array<struct<path:string, vote:long>>")
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[{"path": p, "vote": v} for p, v in scores(blocks(x)).items()] if isinstance(x, str) else [] for x in batch])
+            yield pd.Series([[{"path": a[0], "vote": a[1]}] if isinstance(x, str) and (a := article(blocks(x))) else [] for x in batch])
 
     cast = pages.select(host, F.explode(votes(html_col)).alias("v")).groupBy(host, F.col("v.path").alias("path")).agg(F.sum("v.vote").alias("vote"))
     return cast.groupBy(host).agg(F.max(F.struct("vote", "path"))["path"].alias("path"))

@@ -2,7 +2,7 @@
 
 import struct
 
-from kairolog.llm import tokens
+from kairolog.llm import htmltext, tokens
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 
@@ -26,3 +26,22 @@ def test_tokens_of_more_words_than_are_kept(monkeypatch):
     for texts in (["waa wab wac"], [" ".join(many)], many, ["waa wab wzz"], [" ".join(many[:15])], [" ".join(many[10:25])]):
         same_as_library(t, texts)
     assert len(t.known) <= 20
+
+
+def test_articles_of_sections_lists_and_tables(spark):
+    """The whole article is kept, on each of a host's pages; what is around it isn't."""
+    p = lambda c, n: "<p>" + c * n + "</p>"
+    page = lambda x: f'<html><body><nav><a href="/">menu</a></nav><div class="ad">{"z" * 80}</div>{x}<footer>f</footer></body></html>'
+    items = "".join(f"<li>{'i' * 150}</li>" for _ in range(10))
+    cases = {
+        "sections": (f"<article><h1>{'t' * 60}</h1>{p('l', 200)}{''.join(f'<section>{p(c, 1000)}</section>' for c in 'abc')}</article>", ["t" * 60, "l" * 200, *[c * 1000 for c in "abc"]]),
+        "list": (f"<article><h1>{'t' * 60}</h1>{p('l', 300)}<ul>{items}</ul></article>", ["t" * 60, "l" * 300, *["i" * 150] * 10]),
+        "table": (f"<article><h1>{'t' * 60}</h1><table><tbody><tr><td>{p('a', 900)}</td></tr><tr><td>{'b' * 700}</td></tr></tbody></table></article>", ["t" * 60, "a" * 900, "b" * 700]),
+        "divs": (f"<div class='post'><h1>{'t' * 60}</h1>{p('l', 200)}<div class='text'>{p('a', 900)}{p('b', 900)}</div></div>", ["t" * 60, "l" * 200, "a" * 900, "b" * 900]),
+        "body": (f"<h1>{'t' * 60}</h1><section>{p('a', 900)}</section><section>{p('b', 900)}</section>", ["t" * 60, "a" * 900, "b" * 900]),
+        "outside": (f"<div class='box'>{p('o', 50)}</div><article>{p('a', 900)}{p('b', 900)}</article>", ["a" * 900, "b" * 900]),
+    }
+    rows = [(100 * i + k, f"http://{name}.org/{k}", page(x)) for i, (name, (x, _)) in enumerate(cases.items()) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (name, (_, lines)) in enumerate(cases.items()):
+        assert [got[100 * i + k] for k in range(3)] == ["\n".join(lines)] * 3, name
