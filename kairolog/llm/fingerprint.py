@@ -2,8 +2,10 @@
 
 Words are hashed; an s-mer is S adjacent words, a k-mer K. A k-mer is an anchor if the smallest hash of its inner
 s-mers is that of its first or last one: that depends on its own words alone, so an edit moves or changes only the
-anchors that it touches. The fingerprint keeps the B anchors with the least hashes, each with its word position; two
-fingerprints are alike by the share of anchors that agree at one common offset.
+anchors that it touches. The fingerprint keeps each distinct anchor with its first word position; two fingerprints are
+alike by the share of anchors that lie in both, at an offset that a neighbouring one has too.
+
+Characters of scripts that don't put spaces between words are words each, and so are all characters of an UNSPACED text.
 """
 
 from __future__ import annotations
@@ -15,7 +17,14 @@ from pyspark.sql import functions as F
 
 from kairolog.llm.shared import free_name, small
 
-K, S, KEPT = 5, 2, 48
+K, S = 5, 2
+#: All anchors are kept: a bound would leave a long text with few of its own.
+KEPT = None
+#: Offsets that differ by so many words are one; an edit moves what follows it.
+NEAR = 16
+SCRIPTS = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+#: Characters from which a text of fewer than K words is taken by characters.
+UNSPACED = 64
 #: An anchor is one long: 39 bits of its hash over 24 bits of its position.
 HASH, PLACE = 0x7FFFFFFFFF000000, 0xFFFFFF
 ROWS = 2048
@@ -35,9 +44,11 @@ def _hash_of(anchor: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """array<long>, ascending: the closed syncmers of the whole text, packed. Null and empty texts have none; a text of
-    fewer than K words has one, of the text itself."""
-    words = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
+    """array<long>, ascending: the closed syncmers of the whole text, packed. Null and empty texts have none; a short text
+    of fewer than K words has one, of the text itself."""
+    spaced = F.filter(F.split(F.regexp_replace(text, f"({SCRIPTS})", " $1 "), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
+    single = F.filter(F.split(text, ""), lambda c: ~c.isin(*" \t\n\r\f\x0b", ""))
+    words = _let(spaced, lambda w: F.when((F.size(w) < K) & (F.char_length(text) >= UNSPACED), single).otherwise(w))
 
     def syncmers(h: Column) -> Column:
         n = F.size(h)
@@ -57,29 +68,36 @@ def anchors(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<long>: of the distinct anchor hashes the KEPT least, each at its first place."""
-    return _let(anchors(text), lambda a: F.slice(F.filter(a, lambda x, i: (i == 0) | (_hash_of(x) != _hash_of(F.get(a, i - 1)))), 1, KEPT))
+    """array<long>, ascending: the distinct anchor hashes, each at its first place."""
+    return _let(anchors(text), lambda a: F.filter(a, lambda x, i: (i == 0) | (_hash_of(x) != _hash_of(F.get(a, i - 1)))))
 
 
 def as_text(fp: Column) -> Column:
     """`hash:place` in hexadecimal digits, joined by spaces; empty for no anchors."""
-    return F.array_join(F.transform(fp, lambda a: F.concat(F.lower(F.hex(_hash_of(a))), F.lit(":"), F.lower(F.hex(a.bitwiseAND(F.lit(PLACE)))))), " ")
+    return F.lower(F.array_join(F.transform(fp, lambda a: F.concat(F.hex(_hash_of(a)), F.lit(":"), F.hex(a.bitwiseAND(F.lit(PLACE))))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: of the KEPT least hashes of both, the share that lies in both at the most common offset of places; 1 if
-    neither has any."""
-    hashes = lambda x: F.transform(x, _hash_of)
-
-    def scored(ha: Column, hb: Column) -> Column:
-        union = F.slice(F.sort_array(F.array_union(ha, hb)), 1, KEPT)
-        both = F.filter(F.array_intersect(ha, hb), lambda x: x <= F.element_at(union, -1))
-        place = lambda x, hs, fp: F.get(fp, (F.array_position(hs, x) - 1).cast("int")).bitwiseAND(F.lit(PLACE))
-        shifts = F.transform(both, lambda x: place(x, ha, a) - place(x, hb, b))
-        votes = _let(shifts, lambda d: F.coalesce(F.array_max(F.transform(F.array_distinct(d), lambda y: F.size(F.filter(d, lambda z: z == y)))), F.lit(0)))
-        return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(votes / F.size(union))
-
-    return _let(hashes(a), lambda ha: _let(hashes(b), lambda hb: scored(ha, hb)))
+    """0 to 1: of the hashes of both, the share that lies in both and follows or precedes another such one at an offset
+    of places not more than NEAR from its own (a single one counts); 1 if neither has any."""
+    sided = lambda x, side: F.transform(x, lambda v: F.shiftleft(v, 1).bitwiseOR(F.lit(side)))
+    place = lambda v: F.shiftright(v, 1).bitwiseAND(F.lit(PLACE))
+    second = lambda v: v.bitwiseAND(F.lit(1)) == 1
+    shift = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def pair(v: Column, w: Column) -> Column:
+        """The place in a over the offset; null if these aren't the same anchor in a and in b."""
+        packed = lambda x, y: F.shiftleft(place(x), 32).bitwiseOR(place(x) - place(y) + (PLACE + 1))
+        return F.when(F.shiftright(v, 25) == F.shiftright(w, 25), F.when(second(v), packed(w, v)).otherwise(packed(v, w)))
+
+    def scored(n: Column, p: Column) -> Column:
+        close = lambda x, i: F.abs(shift(x) - shift(F.get(p, i))) <= NEAR
+        chained = F.when(F.size(p) == 1, 1).otherwise(F.size(F.filter(p, lambda x, i: close(x, i - 1) | close(x, i + 1))))
+        return F.when(n == 0, F.lit(1.0)).otherwise(chained / (n - F.size(p)))
+
+    both = F.sort_array(F.concat(sided(a, 0), sided(b, 1)))
+    pairs = lambda m: F.sort_array(F.filter(F.transform(m, lambda v, i: pair(v, F.get(m, i + 1))), lambda x: x.isNotNull()))
+    return _let(both, lambda m: _let(pairs(m), lambda p: scored(F.size(m), p)))
 
 
 def with_next(df: DataFrame, key: str, carried: list[str], rows: int = ROWS) -> DataFrame:

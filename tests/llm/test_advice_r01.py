@@ -1,8 +1,11 @@
 """Cases of the first review."""
 
+import random
 import struct
 
-from kairolog.llm import htmltext, tokens
+from pyspark.sql import functions as F
+
+from kairolog.llm import fingerprint, htmltext, tokens
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 
@@ -45,3 +48,21 @@ def test_articles_of_sections_lists_and_tables(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i, (name, (_, lines)) in enumerate(cases.items()):
         assert [got[100 * i + k] for k in range(3)] == ["\n".join(lines)] * 3, name
+
+
+def test_near_copies_are_alike(spark):
+    """With words inserted and deleted all over a long text, and without white space."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    edited = [x for i, w in enumerate(words) for x in (["new", w] if i % 400 == 200 else [] if i % 400 == 390 else [w])]
+    middle = [*words[:2000], "new", *words[2000:]]
+    far = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(300)]
+    code = "".join(rng.choice("abcdefghijklmnop") for _ in range(400))
+    rows = [(0, " ".join(words), " ".join(middle)), (1, " ".join(words), " ".join(edited)), (2, " ".join(words), " ".join(far)), (3, "".join(han), "".join([*han[:150], "新", *han[150:]])), (4, code, code[:200] + "x" + code[200:]), (5, "short", "short"), (6, "short", "other"), (7, "", None)]
+    fp = lambda c: fingerprint.fingerprint(F.coalesce(F.col(c), F.lit("")))
+    found = spark.createDataFrame(rows, "i int, a string, b string").select("i", fp("a").alias("a"), fp("b").alias("b")).select("i", F.size("a").alias("n"), fingerprint.likeness(F.col("a"), F.col("b")).alias("near"))
+    got = {r["i"]: (r["n"], r["near"]) for r in found.collect()}
+    assert got[0][0] > 1000 and got[0][1] > 0.95 and got[1][1] > 0.85 and got[2][1] < 0.05
+    assert got[3][1] > 0.9 and got[4][1] > 0.9
+    assert (got[5][1], got[6][1], got[7][1]) == (1.0, 0.0, 1.0)
