@@ -150,13 +150,13 @@ def cuts(start: int, length: int, total: int, window: int) -> list[tuple[int, in
     return out
 
 
-def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, window: int, grain: int) -> DataFrame:
+def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, window: int, grain: int, ordinary: bool) -> DataFrame:
     """For each document its ids (16 bits each, where the vocabulary allows) and its place in its slice, a task's input:
     whole windows before it, and of its rest the class, rank and tokens before it in the class."""
     width = 2 if max(WordTokenizer.of(tokenizer).size - 1, end) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tail, units = WordTokenizer.of(tokenizer), struct.pack("<I", end), window // grain
+        words, tail, units = WordTokenizer.of(tokenizer, ordinary), struct.pack("<I", end), window // grain
         number, fulls, ranks, before = 0, 0, [0] * (units + 1), [0] * (units + 1)
         name = TaskContext.get().partitionId()
         for batch in batches:
@@ -178,13 +178,13 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, wi
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, slice long, number long, tokens long, fulls_before long, fulls long, class long, rank long, before long, rest long, ids binary")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = 2, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = 2, window: int = WINDOW, grain: int = GRAIN, ordinary: bool = False) -> DataFrame:
     """Pieces of all documents: key, start, length, doc_tokens, sequence_id, offset, ids (a binary of `width` bytes an
     id), width. Each id lies in one piece, a sequence's pieces leave no gap, and no sequence is longer than the window.
     A null text is empty and gives its end id; each of repeated rows is packed; an empty table gives no pieces."""
     spark, folder, path = docs.sparkSession, workspace(docs.sparkSession, "packing"), tokenizer or vocabulary_path()
     width = 2 if max(WordTokenizer.of(path).size - 1, end) < 1 << 16 else 4
-    tokenized(docs, key, text, path, end, window, grain).write.option("compression", "zstd").parquet(f"{folder}/tokens")
+    tokenized(docs, key, text, path, end, window, grain, ordinary).write.option("compression", "zstd").parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
     narrow = tokens.drop("ids")
     # what lies before each slice, for each class (of whole windows: class -1)

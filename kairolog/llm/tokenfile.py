@@ -125,14 +125,14 @@ class TokenReader:
         return [self.ids(i) for i, k in enumerate(self.keys) if k == key]
 
 
-def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int | None = 1, width: int = 4) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int | None = 1, width: int = 4, ordinary: bool = False) -> DataFrame:
     """Tokenizes docs into files under folder (in a store that driver and executors share), in ascending key order
     from file to file; null keys come first, rows of one key in the order of their texts, null texts are empty. Every
     document gets the end id. Returns the manifest, a table beside the files: shard, path, documents, ids. An empty table has no files."""
     path, key_type = tokenizer or vocabulary_path(), pa.int64() if docs.schema[key].dataType.typeName() == "long" else None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, words, writer, n = TaskContext.get(), WordTokenizer.of(path), None, 0
+        task, words, writer, n = TaskContext.get(), WordTokenizer.of(path, ordinary), None, 0
         tail = b"" if end is None else struct.pack("<I", end)
         name = f"{folder}/shard-{task.partitionId():07d}.tok"
         for batch in batches:

@@ -34,13 +34,14 @@ TOGETHER = 1 << 20
 
 
 class WordTokenizer:
-    """encode() of texts as little-endian unsigned 32-bit ids."""
+    """encode() of texts as little-endian unsigned 32-bit ids. A special token's string in a text gives its id, or is
+    split as any other if ordinary."""
 
-    _own: dict[str, WordTokenizer] = {}
+    _own: dict[tuple[str, bool], WordTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = ordinary
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -53,11 +54,11 @@ class WordTokenizer:
         self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        """One for each process and file."""
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str, ordinary: bool = False) -> WordTokenizer:
+        """One for each process, file and treatment of special tokens."""
+        if (path, ordinary) not in cls._own:
+            cls._own[path, ordinary] = cls(path, ordinary)
+        return cls._own[path, ordinary]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

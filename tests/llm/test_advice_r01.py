@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from kairolog.llm import fingerprint, htmltext, tokens
+from kairolog.llm import fingerprint, htmltext, packing, tokens
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 
@@ -66,3 +66,13 @@ def test_near_copies_are_alike(spark):
     assert got[0][0] > 1000 and got[0][1] > 0.95 and got[1][1] > 0.85 and got[2][1] < 0.05
     assert got[3][1] > 0.9 and got[4][1] > 0.9
     assert (got[5][1], got[6][1], got[7][1]) == (1.0, 0.0, 1.0)
+
+
+def test_special_tokens_are_the_librarys(spark):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>", "a <|ENDOFTEXT|> b"]
+    ids = lambda t: [struct.unpack(f"<{len(x) // 4}I", x) for x in t.encode(texts)]
+    assert ids(WordTokenizer.of(vocabulary_path()))[:2] == [(320, 49407, 321), (343, 49406)]
+    ordinary = ids(WordTokenizer.of(vocabulary_path(), True))
+    assert ordinary[0] == ordinary[2] == ids(WordTokenizer.of(vocabulary_path()))[2] and len(ordinary[1]) == 8
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    assert [packing.pack(docs, ordinary=x).first()["doc_tokens"] for x in (False, True)] == [4, 9]
