@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import gc
+import re
 import tempfile
 import uuid
 
@@ -21,8 +23,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this process where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named in spark.checkpoint.dir; a temporary one of this process where it is unset and Spark runs in one
+    process, as in tests. On a cluster executors don't see such a folder, so it must be set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -36,6 +42,18 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder that nothing reads again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `rows` rows, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -53,10 +53,14 @@ def test_repeats(spark, documents):
     assert {r["doc_id"]: bytes(r["kept"]) for r in suffix.drop_repeats(df).collect()} == want
 
 
-def test_components(spark, documents):
-    df, texts = documents
-    words = {d: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for d, t in texts.items()}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, w in words.items()}
+def shingles_of(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_components(texts):
+    """The least key that links reach, from all pairs."""
+    sets = {d: shingles_of(t) for d, t in texts.items()}
     up = {d: d for d in sets}
 
     def root(x):
@@ -71,30 +75,73 @@ def test_components(spark, documents):
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(df).collect()}
-    assert got == {d: (len(sets[d]), root(d)) for d in ids}
+    return {d: root(d) for d in ids}
 
 
-def test_pairs_at_the_bound_are_found():
-    """Sets of Jaccard 3/4 and a little more share an entry, in every band and way."""
+def test_components(spark, documents):
+    df, texts = documents
+    roots = brute_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(df).collect()}
+    assert got == {d: (len(shingles_of(texts[d])), roots[d]) for d in texts}
+
+
+def pair_at_the_bound(rng, n, hot):
+    """Two sets of about n tokens, some of them hot, with a Jaccard of 3/4 or hardly more; None where n has no such pair."""
+    base = rng.choice(hot, min(n // 2, len(hot)), replace=False)
+    a = np.unique(np.concatenate((base, rng.integers(0, 1 << 62, n - len(base)).astype(np.uint64))))
+    drop = (len(a) - -(-3 * len(a) // 4)) if rng.random() < 0.5 else 0
+    b = a[rng.permutation(len(a))[drop:]]
+    add = 0
+    while len(b) and 4 * len(b) >= 3 * (len(a) + add + 1) and add < n:
+        add += 1
+    b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, add).astype(np.uint64))))
+    both = len(np.intersect1d(a, b))
+    return (a, b) if 100 * both >= 75 * (len(a) + len(b) - both) else None
+
+
+@pytest.mark.parametrize("warm", [0.0, 0.5])
+def test_pairs_at_the_bound_share_what_the_pruning_relies_on(warm):
+    """In every band, with exact segments and with deletions."""
     rng = np.random.default_rng(2)
-    for share in (0.0, 0.4):
-        for n in [*range(1, 40), 64, 100, 257, 600]:
-            heat_of = rng.integers(0, 1 << 62, 2000).astype(np.uint64)
-            heat = ngramjoin.Heat(np.unique(heat_of), np.arange(len(np.unique(heat_of))), share)
-            base = rng.choice(heat_of, min(n // 2, 1000), replace=False)
-            a = np.unique(np.concatenate((base, rng.integers(0, 1 << 62, n - len(base)).astype(np.uint64))))
-            drop = (len(a) - -(-3 * len(a) // 4)) if rng.random() < 0.5 else 0
-            b = a[rng.permutation(len(a))[drop:]]
-            add = 0
-            while len(b) and 4 * len(b) >= 3 * (len(a) + add + 1) and add < n:
-                add += 1
-            b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, add).astype(np.uint64))))
-            both = len(np.intersect1d(a, b))
-            if 100 * both < 75 * (len(a) + len(b) - both):
-                continue
-            ways: dict[int, int] = {}
-            assert len(np.intersect1d(ngramjoin.entries(a, heat, ways), ngramjoin.entries(b, heat, ways))) > 0, (n, share)
+    hot = np.unique(rng.integers(0, 1 << 62, 2000).astype(np.uint64))
+    heat = ngramjoin.Heat(hot, np.arange(len(hot)), 0.05, warm)
+    ways = {b: ngramjoin.allocation(b, heat) for b in range(ngramjoin.BANDS)}
+    assert any(way < 0 for way in ways.values()) == (warm > 0)
+    deleted = lambda n: any(way < 0 and (1 << b) <= n < (4 << b) for b, way in ways.items())
+    segments = lambda n: n // 3 + 1 + n // ngramjoin.SPARE
+
+    def spare(n):
+        low = (75 * n + 99) // 100
+        return max(1, min(segments(n) - (n + n * 100 // 75) // 7, segments(low) - (low + n) // 7) - 1)
+
+    for n in [*range(1, 70), *rng.integers(64, 2000, 60).tolist()] * 2:
+        if pair := pair_at_the_bound(rng, n, hot):
+            a, b = pair
+            shared = len(np.intersect1d(ngramjoin.entries(a, heat, ways), ngramjoin.entries(b, heat, ways)))
+            need = 1 if deleted(len(a)) or deleted(len(b)) else max(min(segments(len(a)), segments(len(b))) - (len(a) + len(b)) // 7, spare(len(a)), spare(len(b)), 1)
+            assert shared >= need, (n, len(a), len(b), shared, need)
+
+
+def test_blocks_beside_each_other_count_what_they_have_in_common():
+    rng = np.random.default_rng(5)
+    xs, ys = ([np.unique(rng.integers(0, 3000, int(k)).astype(np.uint64)) for k in rng.integers(1, 900, 40)] for _ in "xy")
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert (ngramjoin.met_counts(xs, ys, width=256) == np.array(want)).all()
+
+
+def test_a_dense_group_around_the_bound(spark):
+    """More near copies than make pairs, some linked with some only: lists, stars and blocks against brute force."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for d in range(400):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[d] = " ".join(words if d % 5 else [f"y{d}_{i % 50}" for i in range(100)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(df).collect()}
+    assert got == brute_components(texts)
 
 
 def test_shingles():
