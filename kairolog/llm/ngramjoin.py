@@ -365,11 +365,12 @@ def verified(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     near = both.groupBy("node").agg(F.least(F.min("with"), F.col("node")).alias("least"))
     near = saved(near.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node"), f"{folder}/nodes")
     block = saved(_blocks(near, "least").select("node", "block"), f"{folder}/blocks")
-    placed = pairs.select("a", "b").join(block.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    side = small(block)
+    placed = pairs.select("a", "b").join(side.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     placed = saved(placed.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("unit")), f"{folder}/units")
     sent = placed.select(F.col("a").alias("node"), "unit").union(placed.select("b", "unit")).distinct()
     listed = placed.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # of two blocks at most
-    rows = sets.join(sent, "node").select("unit", "node", "shingles", F.lit(None).cast(listed.schema["pairs"].dataType).alias("pairs"))
+    rows = sets.join(small(saved(sent, f"{folder}/sent")), "node").select("unit", "node", "shingles", F.lit(None).cast(listed.schema["pairs"].dataType).alias("pairs"))
     rows = rows.unionByName(listed, allowMissingColumns=True)
 
     def check(table: pa.Table) -> pa.Table:
@@ -468,7 +469,7 @@ def links_in(lists: DataFrame, sets: DataFrame, folder: str, parts: int) -> Data
     sent = saved(block.join(sent, "block").select("unit", "second", "node", "component"), f"{folder}/sent")
     volume = sent.join(hubs.select("node", "n"), "node").agg(F.sum(F.col("n") * 8)).first()[0] or 0
     parts = max(parts, volume // BUCKET)
-    rows = sets.join(sent, "node").select(F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("part"), "unit", "second", "node", "component", "shingles")
+    rows = sets.join(small(sent), "node").select(F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("part"), "unit", "second", "node", "component", "shingles")
     found = saved(rows.groupBy("part").applyInArrow(beside, "a long, b long").distinct(), f"{folder}/links")
     released(spark)
     return found
