@@ -78,6 +78,33 @@ def brute_components(texts):
     return {d: root(d) for d in ids}
 
 
+def test_a_phrase_in_many_contexts_is_split(spark, monkeypatch):
+    """A hot 16-gram around which every text differs, and repeats of which it is a part."""
+    monkeypatch.setattr(suffix, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(suffix, "BLOCK", 20_000)
+    monkeypatch.setattr(suffix, "PART", 4096)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    texts, seen, want = {}, set(), {}
+    for d in range(1500):
+        parts = [word() for _ in range(8)] + ["the common phrase here"] + [word() for _ in range(8)]
+        if d % 3 == 0 and d:
+            old = texts[rng.randrange(d)]
+            parts.append(old[rng.randrange(len(old) // 2) :])
+        texts[d] = " ".join(parts)
+    for d, t in texts.items():
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        own = {b[i : i + 50] for i in range(len(b) - 49)}
+        for i in range(len(b) - 49):
+            if b[i : i + 50] in seen:
+                gone[i : i + 50] = True
+        seen |= own
+        want[d] = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix.drop_repeats(df).collect()} == want
+
+
 def test_components(spark, documents):
     df, texts = documents
     roots = brute_components(texts)
