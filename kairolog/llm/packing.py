@@ -1,8 +1,11 @@
 """Packing token sequences into windows by non-negative least squares over length combinations.
 
 Documents give whole windows of their own and a rest shorter than the window. Rests are counted by length class (GRAIN
-tokens); all combinations of few classes that fill the window exactly are enumerated, and their repeat counts solve
-min |A x - h|, x >= 0, for the histogram h. Counts are rounded down; residuals are packed greedily, class by class, and
+tokens) and by coarse class (COARSE to a window). All combinations of coarse classes that fill a window are enumerated,
+and their repeat counts solve min |A x - h|, x >= 0, for the coarse histogram h (Lawson and Hanson's active sets: exact,
+with no more combinations in use than classes). Counts are rounded down and then up by largest remainders, as far as
+there are rests; each combination takes classes of GRAIN within its coarse ones whose sum fills the window. What is left
+is solved again, residuals are packed greedily, class by class, and
 what then would leave a window part empty is chained: laid end to end and cut at windows. The tail of the chain is cut
 into powers of two, which need no padding.
 
@@ -28,94 +31,156 @@ from pyspark.sql.types import LongType
 from kairolog.llm.shared import saved, small, workspace
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
-WINDOW, GRAIN = 4096, 8
-#: Share of a window that a greedy combination must fill; others are chained.
-FILLED = 0.985
-ROUNDS = 400
+WINDOW, GRAIN, COARSE = 4096, 4, 16
+#: Share of a window that a combination must fill; others are chained.
+FILLED = 0.995
+#: Times that what is left is solved again.
+ROUNDS = 6
 #: Documents tokenized at a time.
 TOGETHER = 512
 
 
-def combinations(units: int) -> list[tuple[int, ...]]:
-    """Classes (of 1 to units) that fill the window: copies of one class and at most one other, or three others."""
-    found = set()
-    for a in range(1, units + 1):
-        for k in range(1, units // a + 1):
-            rest = units - k * a
-            found.add(tuple(sorted([a] * k + ([rest] if rest else []), reverse=True)))
-    for a in range(1, units // 3 + 1):
-        for b in range(a + 1, (units - a + 1) // 2):
-            found.add((units - a - b, b, a))
-    return sorted(found, key=lambda c: (len(c), c))
-
-
-def least_squares(columns: list[tuple[int, ...]], histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """x >= 0 with A x near the histogram, by accelerated projected gradient steps; A has a row for each class."""
-    row = np.array([c for combo in columns for c in combo]) - 1
-    col = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    times = lambda x: np.bincount(row, x[col], len(histogram))
-    back = lambda r: np.bincount(col, r[row], len(columns))
-    v = np.ones(len(columns))
-    for _ in range(30):
-        v = back(times(v))
-        v /= np.linalg.norm(v)
-    step = 1 / (1.01 * (v @ back(times(v))))
-    x = y = np.zeros(len(columns))
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * back(times(y) - histogram))
-        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        y = new + (last - 1) / t * (new - x)
-        x = new
+def combinations(units: int, most: int | None = None) -> list[tuple[int, ...]]:
+    """Classes of 1 to units that fill the window, the largest first."""
+    most = most or units
+    return [(a, *rest) for a in range(min(most, units), 0, -1) for rest in (combinations(units - a, a) if a < units else [()])]
+
+
+def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 that makes |a x - b| least, by active sets."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    small = 1e-9 * max(1.0, float(np.abs(b).max(initial=0))) * a.shape[0]
+    for _ in range(10 * a.shape[0]):
+        gain = np.where(used, -np.inf, a.T @ (b - a @ x))
+        if gain.max(initial=-np.inf) <= small:
+            break
+        used[gain.argmax()] = True
+        while used.any():
+            at = np.flatnonzero(used)
+            free = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            if free.min() > 0:
+                x[:] = 0
+                x[at] = free
+                break
+            down = at[free <= 0]
+            step = min(1.0, (x[down] / np.maximum(x[down] - free[free <= 0], 1e-300)).min())
+            x[at] += step * (free - x[at])
+            used[at[(free <= 0) & (x[at] <= small)]] = False
+            x[~used] = 0
     return x
 
 
 @dataclass(frozen=True)
 class Plan:
     """For each class: ends of rank ranges, and for each range its first sequence and place there; counts[c] rests of
-    class c have a place, later ones are chained, in the order of classes. sequences: in use by combinations."""
+    class c have a place, later ones are chained, in the order of classes. sequences: in use by combinations; solved:
+    units that solved combinations place, of all; residual: of the first solution, as part of the histogram's length."""
 
     starts: list[np.ndarray]
     sequence: list[np.ndarray]
     place: list[np.ndarray]
     counts: np.ndarray
     sequences: int
+    solved: int
+    units: int
+    residual: float
 
 
 def plan(histogram: np.ndarray, filled: float = FILLED) -> Plan:
     """histogram[c - 1]: rests of class c."""
-    units, left = len(histogram), histogram.astype(np.int64).copy()
-    chosen: list[tuple[tuple[int, ...], int]] = []
-
-    def take(combo: tuple[int, ...], most: int) -> int:
-        need = np.bincount(np.array(combo) - 1, minlength=units)
-        n = int(min(most, *(left[c - 1] // need[c - 1] for c in set(combo))))
+    units, left = len(histogram), np.append(0, histogram).astype(np.int64)  # by class from 1
+    step = max(1, units // COARSE)
+    coarse = units // step
+    classes = np.arange(units + 1)
+    coarse_of = np.minimum((classes + step // 2) // step, coarse)  # the nearest; 0: short ones, which fill what is left
+    of_coarse = [classes[(coarse_of == p) & (classes > 0)] for p in range(coarse + 1)]
+    least_of = [int(x[0]) if len(x) else 1 for x in of_coarse]
+    chosen: list[tuple[list[int], int]] = []
+
+    def take(combo: list[int], most: int) -> int:
+        need = np.bincount(combo, minlength=units + 1)
+        n = int(min(most, (left[need > 0] // need[need > 0]).min()))
         if n > 0:
             left[:] -= n * need
             chosen.append((combo, n))
         return n
 
-    if left.any():
-        columns = [c for c in combinations(units) if all(left[k - 1] for k in c)]
-        if columns:
-            x = least_squares(columns, left.astype(float))
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] < 1:
-                    break
-                take(columns[i], int(x[i]))
+    def fitting(parts: tuple[int, ...]) -> list[int] | None:
+        """A class for each coarse one, so that they fill a window, short rests added; of those in best supply."""
+        free, room, combo = left.copy(), units, []
+
+        def add(c: int) -> None:
+            nonlocal room
+            free[c] -= 1
+            room -= c
+            combo.append(int(c))
+
+        ahead = sum(p * step for p in parts)
+        least = sum(least_of[p] for p in parts)
+        for p in parts[:-2]:
+            ahead, least = ahead - p * step, least - least_of[p]
+            own = of_coarse[p]
+            own = own[(free[own] > 0) & (own <= room - least)]
+            if not len(own):
+                return None
+            off = np.abs(room - own - ahead)  # from where the later ones, at their middle, would end
+            near = own[off <= max(step // 2, off.min())]
+            add(near[free[near].argmax()])
+        a, b = (of_coarse[p] for p in (parts[-2:] if len(parts) > 1 else (parts[0], 0)))
+        a = a[(free[a] > 0) & (a <= room)]
+        if len(parts) == 1:
+            if not len(a):
+                return None
+            add(a[-1])
+        else:
+            b = b[(free[b] > 0) & (b <= room)]
+            if not len(a) or not len(b):
+                return None
+            gap = room - a[:, None] - b[None, :]
+            supply = np.minimum(free[a][:, None], free[b][None, :]) // np.where(a[:, None] == b[None, :], 2, 1)
+            gap = np.where((gap < 0) | (supply < 1), units + 1, gap)
+            good = gap <= max(gap.min(), (1 - filled) * units / 4)
+            i, j = np.unravel_index(np.where(good & (gap <= units), supply, -1).argmax(), gap.shape)
+            if gap[i, j] > units:
+                return None
+            add(a[i])
+            add(b[j])
+        short = of_coarse[0]
+        while room:
+            c = short[(short <= room) & (free[short] > 0)]
+            if not len(c):
+                break
+            add(c[-1])
+        return combo if units - room >= filled * units else None
+
+    solved, residual = 0, 0.0
+    columns = combinations(coarse)
+    matrix = np.array([np.bincount(c, minlength=coarse + 1)[1:] for c in columns], float).T
+    for turn in range(ROUNDS):
+        wanted = np.bincount(coarse_of, left, coarse + 1)[1:]
+        if not wanted.any():
+            break
+        x = least_squares(matrix, wanted)
+        if turn == 0:
+            residual = float(np.linalg.norm(matrix @ x - wanted) / np.linalg.norm(wanted))
+        before = int(left @ classes)
+        whole = np.floor(x + 1e-9).astype(np.int64)
+        for counts, order in ((whole, np.argsort(-whole, kind="stable")), ((x > whole + 1e-9).astype(np.int64), np.argsort(whole - x, kind="stable"))):
+            for i in order:
+                n = int(counts[i])
+                while n > 0 and (combo := fitting(columns[i])):
+                    n -= take(combo, n)
+        if int(left @ classes) == before:
+            break
+    solved = int(np.append(0, histogram) @ classes - left @ classes)
     for c in range(units, 0, -1):  # greedily: the largest rest, then each time the largest that fits
-        while left[c - 1]:
-            need, room, combo = np.zeros(units, np.int64), units, []
-            k = c
-            while k >= 1:
-                if k <= room and left[k - 1] > need[k - 1]:
-                    need[k - 1] += 1
-                    combo.append(k)
-                    room -= k
-                    k = min(k, room)
-                else:
-                    k -= 1
-            if units - room < filled * units or not take(tuple(combo), int(left[c - 1])):
+        while left[c]:
+            free, room, combo = left.copy(), units, []
+            while len(k := np.flatnonzero(free[: min(c, room) + 1])):
+                combo.append(int(k[-1]))
+                free[k[-1]] -= 1
+                room -= int(k[-1])
+            if units - room < filled * units or not take(combo, int(left[c])):
                 break
     starts: list[list[int]] = [[] for _ in range(units)]
     sequence: list[list[int]] = [[] for _ in range(units)]
@@ -129,7 +194,7 @@ def plan(histogram: np.ndarray, filled: float = FILLED) -> Plan:
             counts[c - 1] += n
         used += n
     arrays = lambda lists: [np.array(x, np.int64) for x in lists]
-    return Plan(arrays(starts), arrays(sequence), arrays(place), counts, used)
+    return Plan(arrays(starts), arrays(sequence), arrays(place), counts, used, solved, int(np.append(0, histogram) @ classes), residual)
 
 
 def cuts(start: int, length: int, total: int, window: int) -> list[tuple[int, int, int]]:

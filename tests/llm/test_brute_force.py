@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from kairolog.llm import fingerprint, langid, ngramjoin, packing, shingles, suffix, tokenfile, urlfilter
 from kairolog.llm.shared import workspace
+from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -196,6 +198,48 @@ def test_packing_leaves_little_padding():
     assert sum(ends.values()) == total and all(n == 4096 or n & (n - 1) == 0 for n in ends.values())
 
 
+@pytest.mark.parametrize(("sf", "rows"), [("0.01", 1000), ("0.1", 10_000)])
+def test_solved_combinations_carry_the_packing(sf, rows):
+    """At small sizes too; and what combinations place leaves little of their windows empty."""
+    tokens = WordTokenizer.of(vocabulary_path())
+    texts = duckdb.sql(f"SELECT text FROM '/root/testdata/sf{sf}/documents.parquet'").fetchall()
+    assert len(texts) == rows
+    rest = np.array([len(x) // 4 + 1 for x in tokens.encode([t for (t,) in texts])]) % packing.WINDOW
+    units = packing.WINDOW // packing.GRAIN
+    made = packing.plan(np.bincount(-(-rest[rest > 0] // packing.GRAIN), minlength=units + 1)[1:])
+    assert made.solved > 0.7 * made.units and made.residual < 0.01
+    placed = sum(int(c) * (k + 1) for k, c in enumerate(made.counts))
+    assert placed >= 0.998 * made.sequences * units
+
+
+def test_least_squares_against_brute_force():
+    """No step along any column makes it better, and nothing is negative."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, (6, 14)).astype(float), rng.integers(0, 30, 6).astype(float)
+        x = packing.least_squares(a, b)
+        gain = a.T @ (b - a @ x)
+        assert x.min() >= 0 and gain.max() < 1e-6 and abs(gain[x > 1e-9]).max(initial=0) < 1e-6
+    assert sorted(packing.combinations(5)) == sorted([(5,), (4, 1), (3, 2), (3, 1, 1), (2, 2, 1), (2, 1, 1, 1), (1, 1, 1, 1, 1)])
+
+
+@pytest.mark.parametrize(("window", "grain"), [(64, 4), (100, 1), (48, 8), (16, 16)])
+def test_plans_of_odd_windows(window, grain):
+    """Each rest has one place, and no sequence is too long."""
+    rng = np.random.default_rng(7)
+    units = window // grain
+    h = rng.integers(0, 9, units)
+    made = packing.plan(h)
+    filled: dict[int, int] = {}
+    assert (made.counts <= h).all()
+    for c in range(units):
+        for r in range(int(made.counts[c])):
+            i = int(np.searchsorted(made.starts[c], r, side="right")) - 1
+            s = int(made.sequence[c][i] + r - made.starts[c][i])
+            filled[s] = filled.get(s, 0) + c + 1
+    assert all(x <= units for x in filled.values()) and set(filled) == set(range(made.sequences))
+
+
 def test_random_access_decompresses_few_frames(spark, tmp_path):
     import pyarrow as pa
 
