@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairolog.llm.shared import aside, free_name, own
+
 GRAMS = (2, 3, 4)
 BITS, WIDTH = 15, 16
 UNKNOWN = "und"
@@ -25,6 +27,7 @@ DRAWN, OF_EACH, WINDOWS = 12_000, 500, (400, 200, 80, 30)
 EPOCHS, BATCH, RATE = 4, 32, 1.0
 #: Share of the calibration windows, right ones, that the rejection may cost.
 REJECTED = 0.001
+MADE = ("lang_pred", "score", "rejected")
 #: Characters handled at a time; longer texts in parts that overlap by the longest n-gram.
 PART = 1 << 19
 
@@ -196,16 +199,22 @@ def held_out(key: str) -> F.Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from a bounded sample (DRAWN, OF_EACH, WINDOWS) of rows with text and language that aren't held out. The
-    key only draws the sample."""
+    key only draws the sample; of rows with one key and language one is taken, and none without a key. Where no row is
+    left, as in an empty table, the model knows no language and calls each text with a letter `und`."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    drawn = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h", "key").limit(DRAWN).toPandas()
+    drawn = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    n = rows.count()
+    if n > 2 * DRAWN:  # by a bound on the hash first, so that no task sends more than its part; twice what is needed
+        drawn = drawn.filter(F.col("h") <= F.lit((1 << 64) * 2 * DRAWN // n - (1 << 63)))
+    drawn = drawn.orderBy("h", "key").limit(DRAWN).toPandas()
     if not len(drawn):
         return Model((UNKNOWN,), np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     keys = drawn.groupby("lang").head(OF_EACH)["key"].dropna().drop_duplicates()
     chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"key": keys}), f"key {docs.schema[key].dataType.simpleString()}")
     n = F.char_length(text)
     cuts = [F.substring(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), F.greatest(n - w, F.lit(1)))).cast("int"), F.lit(w)) for i, w in enumerate(WINDOWS)]
-    found = rows.join(F.broadcast(chosen), rows[key] == chosen["key"]).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.array(*cuts).alias("cuts")).toPandas().sort_values(["h", "lang"])
+    found = rows.join(F.broadcast(chosen), rows[key] == chosen["key"]).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.array(*cuts).alias("cuts"))
+    found = found.groupBy("h", "lang").agg(F.min("cuts").alias("cuts")).toPandas().sort_values(["h", "lang"])  # of a key's rows one a language
     pieces = [(cut, label) for label, cuts in zip(found["lang"], found["cuts"], strict=True) for cut in dict.fromkeys(cuts)]
     return train([p for p, _ in pieces], [x for _, x in pieces])
 
@@ -222,8 +231,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             bad = bad | (np.array(lang, dtype=object) == UNKNOWN)
             yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": bad})
 
-    kept = [docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    return docs.select(*kept, judged(docs[text]).alias("_judged")).select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")], "_judged.*")
+    kept = [x for c, x in zip(docs.columns, own(docs), strict=True) if c.lower() not in MADE]
+    (found,) = free_name(docs, "_judged")
+    return docs.select(*kept, judged(docs[text]).alias(found)).select(*kept, f"{found}.*")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected, all columns whatever their names."""
+    moved, back = aside(docs, *MADE)
+    return identify(moved, model, text).filter("not rejected").select(*back)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

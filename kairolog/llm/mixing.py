@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairolog.llm.shared import free_name, saved, small, workspace
+from kairolog.llm.shared import aside, free_name, own, saved, small, workspace
 
 LEVELS = ("domain", "lang", "source")
+#: Columns that mix_sources() adds.
+MADE = ("domain", "n_tokens", "epoch_tokens", "target", "copies")
 #: Rows of a leaf that share one slice of its seeded order, about.
-SLICE_ROWS = 4096
+SLICE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,8 @@ def mix_sources(docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", tex
     has no tokens. In a leaf's last epoch a row is taken if the tokens before it don't reach the leaf's rest; its order
     is that of a hash of seed, epoch and key, then key, then the text. Weights must be positive. Rows that are equal in all of these may stand
     for each other. An empty table gives an empty one."""
-    out = [c for c in docs.columns if c.lower() not in ("domain", "n_tokens", "epoch_tokens", "target", "copies")]
-    leaf, spot, piece, edge, base, whole, rest, bits = free_name(docs, "_leaf", "_spot", "_slice", "_edge", "_base", "_whole", "_rest", "_bits")
+    out = [x for c, x in zip(docs.columns, own(docs), strict=True) if c.lower() not in MADE]
+    leaf, spot, piece, edge, base, whole, rest, bits, before = free_name(docs, "_leaf", "_spot", "_slice", "_edge", "_base", "_whole", "_rest", "_bits", "_before")
     source = F.coalesce(F.col("source"), F.lit("none"))
     names = F.struct(_looked_up(mix.domains, source, "other").alias("domain"), F.coalesce(F.col("lang"), F.lit("none")).alias("lang"), source.alias("source"))
     d = docs.select(*out, names.alias(leaf), tokens(F.col(text)).alias("n_tokens"))
@@ -104,15 +106,20 @@ def mix_sources(docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", tex
     edges = saved(plan.join(sums.groupBy(leaf).agg(F.min(F.struct(F.col(piece).alias("at"), (F.col("run") - F.col("sum")).alias("before"))).alias("e")), leaf, "left").select(*plan.columns, F.coalesce("e.at", F.lit(-1)).alias(edge), F.coalesce("e.before", F.lit(0)).alias(base)), f"{folder}/edges")
     all_rows = placed(edges)
     inside = all_rows.filter(F.col(piece) != F.col(edge)).withColumn("copies", F.col(whole) + (F.col(piece) < F.col(edge)).cast("long"))
-    tie = Window.partitionBy(leaf).orderBy(spot, key, text).rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = all_rows.filter(F.col(piece) == F.col(edge)).withColumn("_before", F.col(base) + F.coalesce(F.sum("n_tokens").over(tie), F.lit(0)))
-    at_edge = at_edge.withColumn("copies", F.col(whole) + (F.col("_before") < F.col(rest)).cast("long")).drop("_before")
+    tie = Window.partitionBy(leaf, piece).orderBy(spot, key, text).rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = all_rows.filter(F.col(piece) == F.col(edge)).withColumn(before, F.col(base) + F.coalesce(F.sum("n_tokens").over(tie), F.lit(0)))
+    at_edge = at_edge.withColumn("copies", F.col(whole) + (F.col(before) < F.col(rest)).cast("long")).drop(before)
     return inside.unionByName(at_edge).select(*out, F.col(leaf)["domain"].alias("domain"), "n_tokens", "epoch_tokens", "target", "copies")
 
 
-def sampled(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixture itself: each row as often as it was taken."""
-    return mixed.filter(F.col("copies") > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_epoch")).select(*columns)
+def sampled(docs: DataFrame, mix: Mix = PRODUCTION, key: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
+    """The mixture itself: the rows of docs, all columns whatever their names, as often as mix_sources() takes them. Nulls,
+    repeated rows and an empty table are treated as there."""
+    moved, back = aside(docs, *MADE)
+    mixed = mix_sources(moved, mix, key, text, tokens).filter(F.col("copies") > 0)
+    (epoch,) = free_name(mixed, "_epoch")
+    kept = [x for c, x in zip(mixed.columns, own(mixed), strict=True) if c in moved.columns]
+    return mixed.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(epoch)).select(*back)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

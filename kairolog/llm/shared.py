@@ -74,3 +74,16 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """df's columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with columns of these names (compared without case) under free ones, and the columns that give df's own back."""
+    clash = [c for c in df.columns if c.lower() in names]
+    new = dict(zip(clash, free_name(df, *[f"_{c}" for c in clash]), strict=True))
+    moved = df.select(*[x.alias(new.get(c, c)) for c, x in zip(df.columns, own(df), strict=True)])
+    return moved, [x.alias(c) for c, x in zip(df.columns, own(moved), strict=True)]

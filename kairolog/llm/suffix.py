@@ -489,7 +489,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = d.filter("node is not null").select("node", "tag", F.col("text").cast("binary").alias("text"))
     replies = asked(texts, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answered, ANSWERED)
     replies.withColumn("p", F.col("part")).repartition("p").write.partitionBy("p").parquet(f"{folder}/answers")
-    hot = spark.read.parquet(f"{folder}/answers").filter(F.size("hot") > 0).select("bucket", F.explode(F.arrays_zip("hot", "blocks")).alias("x"))
+    hot = spark.read.schema("bucket long, hot array<long>, blocks array<long>").parquet(f"{folder}/answers").filter(F.size("hot") > 0).select("bucket", F.explode(F.arrays_zip("hot", "blocks")).alias("x"))
     top = hot.select("bucket", "x.hot", "x.blocks").orderBy(F.desc("blocks"), "bucket", "hot").limit(HOTTEST).toPandas()
     names = _named(top["bucket"].to_numpy(np.int64).view(np.uint64), top["hot"].to_numpy(np.int64).view(np.uint64))
     released(spark)

@@ -274,26 +274,50 @@ def signed(x: int) -> int:
 
 
 def plain_fingerprint(text: str) -> list[int]:
-    """In Python, with Spark's xxhash64 (seed 42, each value's hash seeds the next)."""
+    """In Python, with Spark's xxhash64 (seed 42, each value's hash seeds the next; whole numbers here have 8 bytes)."""
     chained = lambda values: __import__("functools").reduce(lambda h, v: xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h), values, 42)
-    h = [signed(chained([w.encode()])) for w in re.split("[ \t\n\r\f\x0b]+", text) if w]
-    pack = lambda x, i: x & fingerprint.HASH | i & fingerprint.PLACE
-    if not text:
-        return []
-    if len(h) < fingerprint.K:
-        return [pack(chained([text.encode()]), 0)]
-    s = [signed(chained([h[i], h[i + 1]])) for i in range(len(h) - 1)]
-    found = [pack(chained([s[i], s[i + 2], h[i + 4]]), i) for i in range(len(h) - 4) if s[i] <= min(s[i + 1 : i + 4]) or s[i + 3] < min(s[i : i + 3])]
+    pack = lambda x, i: x & fingerprint.HASH | i
+
+    def syncmers(h):
+        s = [signed(chained([h[i], h[i + 1]])) for i in range(len(h) - 1)]
+        return [pack(chained([s[i], s[i + 2], h[i + 4]]), i) for i in range(len(h) - 4) if s[i] <= min(s[i + 1 : i + 4]) or s[i + 3] < min(s[i : i + 3])]
+
+    words = [w for w in re.split("[ \t\n\r\f\x0b]+", text) if w]
+    found = syncmers([signed(chained([w.encode()])) for w in words])
+    if len(words) < fingerprint.SHORT:
+        found += syncmers([signed(chained([c.encode(), (1).to_bytes(4, "little")])) for c in text if c not in " \t\n\r\f\x0b"])
+    if text and not found:
+        found = [pack(chained([text.encode()]), 0)]
     out: list[int] = []
     for a in sorted(found):
-        if not out or out[-1] >> 24 != a >> 24:
+        if not out or out[-1] >> fingerprint.BITS != a >> fingerprint.BITS:
             out.append(a)
-    return out[: fingerprint.KEPT]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,0)"])
+def test_next_rows_of_any_key(spark, kind):
+    """Dense keys and one far away, a key of many rows and null ones: small ranges, and the order of one window."""
+    from pyspark.sql import functions as F
+
+    keys = [*range(3000), 10**15, *[77] * 40, None, None]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "k long, text string").select(F.col("k").cast(kind).alias("k"), "text").repartition(5)
+    got = {(r["text"], r["next_text"]) for r in fingerprint.with_next(df, "k", ["text"], rows=100).collect()}
+    rows = df.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted((r for r in rows if r["k"] is not None), key=lambda r: (r["k"], r["h"]), reverse=True) + sorted((r for r in rows if r["k"] is None), key=lambda r: -r["h"])
+    assert got == {(a["text"], b["text"]) for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
+def test_short_and_unspaced_texts_are_like_their_edits(spark):
+    rows = [(i, t) for i, t in enumerate(["the quick fox jumps", "supercalifragilistic", "".join(chr(0x4E00 + 37 * j % 5000) for j in range(4000)), "a few words more than five of them", "x" * 12 + "abcdefgh" * 6])]
+    got = {r["i"]: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "i long, text string"), key="i").collect()}
+    assert all(got[i]["near_edited"] > 0.2 and got[i]["near_edited"] > got[i]["near_next"] for i in range(5)), got
+    assert got[2]["near_edited"] > 0.4
 
 
 def test_fingerprints(spark, documents):
     df, texts = documents
-    show = lambda fp: " ".join(f"{a >> 24:x}:{a & fingerprint.PLACE:x}" for a in fp)
+    show = lambda fp: " ".join(f"{a >> fingerprint.BITS:x}:{a & fingerprint.PLACE:x}" for a in fp)
     got = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(df).collect()}
     order = sorted(texts, reverse=True)
     for d, after in zip(order, [*order[1:], order[0]], strict=True):
