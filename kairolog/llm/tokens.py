@@ -30,7 +30,8 @@ OTHER = re.compile(f"[^{re.escape(''.join(c for c in map(chr, range(0x2100)) if
 KEPT_WORDS = 400_000
 #: New words encoded at a time.
 LEARNT = 50_000
-TOGETHER = 1 << 20
+#: Characters of texts encoded together: so few that their words stay in the processor's cache from step to step.
+TOGETHER = 1 << 15
 
 
 class WordTokenizer:
