@@ -37,9 +37,10 @@ LENGTH, GRAM = 50, 16
 BLOCK, BUCKET = 2 << 20, 8 << 20
 #: Bytes of a bucket's segments that are sorted at a time, about.
 PART = 1 << 20
-#: A 16-gram of so many blocks is hot; so many of the hottest are known to all tasks. They steer where segments go, not
-#: what is found. PLACES of the 16-gram in a string make a piece.
-HOT_BLOCKS, HOTTEST, PLACES = 64, 100_000, 6
+#: A 16-gram of so many blocks is hot, where a block that has it MANY times or more counts as so many; so many of the
+#: hottest are known to all tasks. They steer where segments go, not what is found. PLACES of the 16-gram in a string make
+#: a piece.
+HOT_BLOCKS, MANY, HOTTEST, PLACES = 512, 8, 100_000, 6
 #: Suffixes are sorted to this depth in 8-byte words; no segment has a longer string in question.
 WORDS = 7
 EXPANSION = 3.4
@@ -262,10 +263,10 @@ def asked(texts: DataFrame, buckets: int) -> DataFrame:
                 continue
             cut = _cuts(b, v)
             first, last = cut[:-1], cut[1:] - 1
-            several = n[first] != n[last]
+            several, many = n[first] != n[last], last - first >= MANY - 1
             b, v = b[first], v[first]
             cut = _cuts(b)
-            rows = [(int(b[x]), part, number, zip_.compress(np.array([y - x], "<i8").tobytes() + np.packbits(several[x:y]).tobytes() + _planes(v[x:y]))) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            rows = [(int(b[x]), part, number, zip_.compress(np.array([y - x], "<i8").tobytes() + np.packbits(several[x:y]).tobytes() + np.packbits(many[x:y]).tobytes() + _planes(v[x:y]))) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "part", "block", "content"])
 
     return texts.mapInArrow(run, ASKED)
@@ -274,13 +275,14 @@ def asked(texts: DataFrame, buckets: int) -> DataFrame:
 def answered(table: pa.Table) -> pa.Table:
     """Of one bucket: for each block a bit for each of its 16-grams, whether two nodes have it; check tells the list. With
     the first block, the bucket's hot 16-grams and how many blocks have each."""
-    unzip, values, flags = zstandard.ZstdDecompressor(), [], []
+    unzip, values, flags, many = zstandard.ZstdDecompressor(), [], [], []
     for packed in table["content"].to_pylist():
         raw = unzip.decompress(packed)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         bits = -(-n // 8)
         flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8))[:n].astype(bool))
-        values.append(_from_planes(raw[8 + bits :]))
+        many.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8 + bits))[:n].astype(bool))
+        values.append(_from_planes(raw[8 + 2 * bits :]))
     every, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     shared = count > 1
     shared[place[np.concatenate(flags)]] = True
@@ -288,6 +290,7 @@ def answered(table: pa.Table) -> pa.Table:
     for v in values:
         out.append((zlib.crc32(v.tobytes()), np.packbits(shared[place[at : at + len(v)]]).tobytes()))
         at += len(v)
+    count = count + (MANY - 1) * np.bincount(place[np.concatenate(many)], minlength=len(every))
     hot = count >= HOT_BLOCKS
     lists = [every[hot].astype(np.int64).tolist(), count[hot].tolist()]
     none: list = [[]] * (len(out) - 1)
