@@ -21,7 +21,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # stores of a query that has ended are closed then
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store takes 4 MB ahead for its manifest
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }

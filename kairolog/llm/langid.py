@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm.shared import aside, free_name, own
+from kairolog.llm.shared import aside, free_name, own, trim
 
 GRAMS = (2, 3, 4)
 BITS, WIDTH = 15, 16
@@ -28,8 +29,10 @@ EPOCHS, BATCH, RATE = 4, 32, 1.0
 #: Share of the calibration windows, right ones, that the rejection may cost.
 REJECTED = 0.001
 MADE = ("lang_pred", "score", "rejected")
+#: Texts handled at a time.
+TOGETHER = 256
 #: Characters handled at a time; longer texts in parts that overlap by the longest n-gram.
-PART = 1 << 19
+PART = 1 << 17
 
 _tables: list[np.ndarray] = []
 
@@ -224,12 +227,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     or one without a letter is `und`, with score 0, and rejected. Repeated rows get the same; an empty table stays so."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            lang, score, bad = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+            found = [shared.value.predict(texts.slice(at, TOGETHER).to_pylist()) for at in range(0, len(texts), TOGETHER)]
+            lang = [x for part, _, _ in found for x in part]
+            score = np.concatenate([x for _, x, _ in found]) if found else np.zeros(0)
+            bad = np.concatenate([x for _, _, x in found]) if found else np.zeros(0, bool)
             bad = bad | (np.array(lang, dtype=object) == UNKNOWN)
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": bad})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad.astype(bool), pa.bool_())], names=["lang_pred", "score", "rejected"])
+        trim()
 
     kept = [x for c, x in zip(docs.columns, own(docs), strict=True) if c.lower() not in MADE]
     (found,) = free_name(docs, "_judged")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairolog.llm.components import components
-from kairolog.llm.shared import ascii_lower, released, removed, saved, small, workspace
+from kairolog.llm.shared import ascii_lower, released, removed, saved, small, trim, workspace
 from kairolog.llm.shingles import mix, shingle_sets
 
 #: Links need 100 * intersection >= 75 * union. The bounds above follow from this value.
@@ -168,6 +168,7 @@ def find_heat(texts: DataFrame) -> Heat:
         total += sum(map(len, parts))
         merge()
         hot = counts >= HOT
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[hot].view(np.int64), 0)), pa.array(np.append(counts[hot], 0)), pa.array([0] * int(hot.sum()) + [total])], names=["hash", "n", "total"])
 
     found = texts.mapInArrow(count, "hash long, n long, total long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
@@ -245,6 +246,8 @@ def indexed(texts: DataFrame, heat: Heat, ways: dict[int, int], buckets: int) ->
                     rows.append((int(bucket[x]), 0, head + nodes[used].tobytes() + place.astype("<u2").tobytes() + (m & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((m >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()))
                 sized = b"".join(part.column(1).to_pylist())
                 rows.append((int(nodes[0]) % buckets, 1, np.array([len(sizes), 0], "<i8").tobytes() + nodes.tobytes() + np.array(sizes, "<i8").tobytes() + sized))
+                del mark, of, bucket, order, several
+                trim()
                 for i in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "kind", "content"), r, strict=True)) for r in rows[i : i + 64]], pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("content", pa.binary())]))
 
@@ -328,6 +331,7 @@ def candidates_of(table: pa.Table) -> pa.Table:
         parts.append(_found(2, int(apart.sum()), a=a[apart], b=b[apart], n=n_plain[apart], star=(n_all - n_plain)[apart]))
     if own_lists:
         parts.append(_found(3, len(own_lists), list=[x[0] for x in own_lists], n=[x[1] for x in own_lists], star=[x[2] for x in own_lists], members=[x[3] for x in own_lists]))
+    trim()
     return pa.concat_tables(parts) if parts else FOUND_ARROW.empty_table()
 
 
@@ -345,6 +349,7 @@ def shingles_of(texts: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
+        trim()
 
     return texts.mapInArrow(run, "node long, n long, shingles binary")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kairolog.llm.shared import saved, small, workspace
+from kairolog.llm.shared import saved, small, trim, workspace
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 WINDOW, GRAIN, COARSE = 4096, 4, 16
@@ -238,6 +238,7 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, wi
                     before[c] += rest
                 part = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in part[:9]], pa.array(part[9], pa.binary())], names=["key", "slice", "number", "tokens", "fulls_before", "fulls", "class", "rank", "before", "rest", "ids"])
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, slice long, number long, tokens long, fulls_before long, fulls long, class long, rank long, before long, rest long, ids binary")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,16 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """In a Python worker: gives freed memory back to the system. Workers live from stage to stage, and an executor's limit
+    holds for all of its own together."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `rows` rows, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm.shared import released, removed, saved, workspace
+from kairolog.llm.shared import released, removed, saved, trim, workspace
 from kairolog.llm.shingles import mix
 
 #: Bytes of a string that must not repeat, and of the grams whose least hash places it.
@@ -422,6 +422,8 @@ def repeats_of(table: pa.Table) -> pa.Table:
         if taken:
             node, tag, start, size, content = map(np.concatenate, zip(*taken, strict=True))
             out.append(_found(node, tag, start, size, (np.cumsum(size) - size).astype(np.int32), content))
+    del blocks
+    trim()
     spans = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
     return pa.table({name: spans[:, i] for i, name in enumerate(SPANS.names)}, SPANS)
 
