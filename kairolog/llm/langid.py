@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,8 +211,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     drawn = drawn.orderBy("h", "key").limit(DRAWN).toPandas()
     if not len(drawn):
         return Model((UNKNOWN,), np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
-    keys = drawn.groupby("lang").head(OF_EACH)["key"].dropna().drop_duplicates()
-    chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"key": keys}), f"key {docs.schema[key].dataType.simpleString()}")
+    keys = drawn.groupby("lang").head(OF_EACH)[["key"]].dropna().drop_duplicates()
+    chosen = docs.sparkSession.createDataFrame(keys, f"key {docs.schema[key].dataType.simpleString()}")
     n = F.char_length(text)
     cuts = [F.substring(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), F.greatest(n - w, F.lit(1)))).cast("int"), F.lit(w)) for i, w in enumerate(WINDOWS)]
     found = rows.join(F.broadcast(chosen), rows[key] == chosen["key"]).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.array(*cuts).alias("cuts"))

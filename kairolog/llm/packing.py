@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +37,7 @@ FILLED = 0.995
 ROUNDS = 6
 #: Documents tokenized at a time.
 TOGETHER = 512
+PLACES = pa.list_(pa.struct([(c, pa.int64()) for c in ("sequence", "place", "offset", "length")]))
 
 
 def combinations(units: int, most: int | None = None) -> list[tuple[int, ...]]:
@@ -274,22 +274,22 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         begins[c], total = total - firsts[c], total + n
     shared = spark.sparkContext.broadcast((made, begins))
 
-    @F.pandas_udf("array<struct<sequence:long, place:long, offset:long, length:long>>")
-    def placed(cls: pd.Series, rank: pd.Series, before: pd.Series, rest: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<sequence:long, place:long, offset:long, length:long>>")
+    def placed(cls: pa.Array, rank: pa.Array, before: pa.Array, rest: pa.Array) -> pa.Array:
         made, begins = shared.value
         out: list = [None] * len(cls)
-        k, r = cls.to_numpy() - 1, rank.to_numpy()
+        k, r, at, lengths = cls.to_numpy() - 1, rank.to_numpy(), before.to_pylist(), rest.to_pylist()
         fits = r < made.counts[k]
         for c in np.unique(k):
             rows = np.flatnonzero((k == c) & fits)
             if len(rows):
                 i = np.searchsorted(made.starts[c], r[rows], side="right") - 1
                 for row, s, p in zip(rows.tolist(), (made.sequence[c][i] + r[rows] - made.starts[c][i]).tolist(), made.place[c][i].tolist(), strict=True):
-                    out[row] = [{"sequence": s, "place": p, "offset": -1, "length": int(rest.iat[row])}]
+                    out[row] = [{"sequence": s, "place": p, "offset": -1, "length": lengths[row]}]
         for row in np.flatnonzero(~fits).tolist():
-            parts = cuts(int(before.iat[row]) + begins[int(cls.iat[row])], int(rest.iat[row]), total, window)
+            parts = cuts(at[row] + begins[int(k[row]) + 1], lengths[row], total, window)
             out[row] = [{"sequence": made.sequences + s, "place": 0, "offset": o, "length": n} for s, o, n in parts]
-        return pd.Series(out)
+        return pa.array(out, PLACES)
 
     rest_start = F.col("tokens") - F.col("rest")
     pieces = ranked.withColumn("p", placed("class", "rank", "before", "rest"))
@@ -311,10 +311,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     return joined.select(F.col("key").alias(key), "x.start", "x.length", F.col("tokens").alias("doc_tokens"), "x.sequence_id", "x.offset", ids.alias("ids"), F.lit(width).alias("width"))
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series, width: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def ids_crc32(ids: pa.Array, width: pa.Array) -> pa.Array:
     """Of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width, strict=True)], dtype="int64")
+    return pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width.to_pylist(), strict=True)], pa.int64())
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
