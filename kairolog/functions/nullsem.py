@@ -40,6 +40,22 @@ def ge(a: Column, b: Column) -> Column:
 COMPARE = {"=": eq, "<>": ne, "!=": ne, "<": lt, "<=": le, ">": gt, ">=": ge}
 
 
+#: The comparison with its sides exchanged.
+SWAPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def kept(a: Column, op: str, value: Column) -> Column:
+    """For filters: a against a value that isn't NULL, as true where the comparison is and else false or NULL."""
+    match op:
+        case "<":
+            return a.isNull() | (a < value)
+        case "<=":
+            return a.isNull() | (a <= value)
+        case ">":
+            return a > value
+    return a >= value
+
+
 def between(a: Column, low: Column, high: Column) -> Column:
     return ge(a, low) & le(a, high)
 

@@ -94,8 +94,8 @@ class Compiler:
     """tables(source) gives the DataFrame and types of a named table, with its period; functions(name, args) that of a
     table function."""
 
-    def __init__(self, spark: SparkSession, tables: Callable, functions: Callable, params: dict | None = None, sequences: Callable | None = None):
-        self.spark, self.tables, self.functions, self.sequences = spark, tables, functions, sequences
+    def __init__(self, spark: SparkSession, tables: Callable, functions: Callable, params: dict | None = None, sequences: Callable | None = None, numbered: Callable | None = None):
+        self.spark, self.tables, self.functions, self.sequences, self.numbered = spark, tables, functions, sequences, numbered
         self.params = params or {}
         self.bound: dict[str, Relation] = {}
 
@@ -130,8 +130,8 @@ class Compiler:
         return Relation(rel.df, [Field(n, f.own, f.kind) for n, f in zip(columns or [f.name for f in rel.fields], rel.fields, strict=True)])
 
     def _recursive(self, name: str, columns: tuple, query: N.SetOp, outer: Scope | None) -> Relation:
-        """The step sees the rows that the round before added; rows that come again are kept, and after ROUNDS rounds it
-        ends. Each round is a table in the shared folder."""
+        """The step sees the rows that the round before added; rows that come again are kept, and a query that adds rows for
+        more than ROUNDS rounds is an error. Each round is a table in the shared folder."""
         folder = scratch(self.spark, "recursive")
         rel = self._renamed(self.query(query.left, outer), columns)
         new, parts = saved(rel.df, f"{folder}/0"), []
@@ -142,6 +142,8 @@ class Compiler:
             new = saved(step, f"{folder}/{i}")
             if new.isEmpty():
                 break
+        else:
+            raise QueryError(f"the recursive query doesn't end within {ROUNDS} rounds")
         return Relation(reduce(DataFrame.unionByName, parts), rel.fields)
 
     @staticmethod
@@ -236,7 +238,7 @@ class Compiler:
         df, scope = rel.df, Scope(rel.fields, outer)
         aliases = {t.alias: t.value for t in q.targets if t.alias}
         if q.where is not None:
-            df = df.filter(self.condition(q.where, scope))
+            df = df.filter(self.where(q.where, scope))
         targets = [N.Target(N.Name(f.name, f.table) if f.table else N.Name(f.name)) for f in rel.fields if not f.hidden] if q.star else list(q.targets)
         by_alias = lambda e: aliases[e.column] if isinstance(e, N.Name) and not e.table and e.column in aliases and scope.find(e) is None else e
         order = [self._order_value(o, targets, aliases, scope) for o in q.order]
@@ -260,6 +262,8 @@ class Compiler:
             df, scope = self._grouped(df, scope, group, aggregates)
             if q.having is not None:
                 df = df.filter(self.condition(q.having, scope))
+        if q.source is not None and (calls := self._drawn(targets)):
+            df, scope = self._with_sequences(df, scope, calls)
         values = [self.expr(t.value, scope) for t in targets]
         fields = [Field(self._shown(t, i), f"c{next(_numbers)}_{i}", k) for i, (t, (_, k)) in enumerate(zip(targets, values, strict=True))]
         keys = [f"k{next(_numbers)}" for _ in order]
@@ -280,6 +284,31 @@ class Compiler:
             df = df.limit(n)
         return Relation(df.select(*[f.own for f in fields]), fields)
 
+    @staticmethod
+    def _drawn(targets: list) -> list[N.Call]:
+        calls: list[N.Call] = []
+
+        def found(node) -> bool:
+            if isinstance(node, N.Call) and node.name == "NEXTVAL" and node not in calls:
+                calls.append(node)
+            return False
+
+        walk(tuple(t.value for t in targets), found)
+        return calls
+
+    def _with_sequences(self, df: DataFrame, scope: Scope, calls: list[N.Call]) -> tuple[DataFrame, Scope]:
+        """A value of its own for each row: the rows are numbered, and as many values drawn at once."""
+        if self.sequences is None or self.numbered is None:
+            raise QueryError("sequences need an engine")
+        df = self.numbered(df)
+        n, done = df.count(), dict(scope.done or {})
+        for call in calls:
+            own = f"q{next(_numbers)}"
+            first, step = self.sequences("NEXTVAL", call.args[0].value, n)
+            df = df.withColumn(own, F.lit(first).cast("bigint") + F.col("_seq") * F.lit(step))
+            done[call] = (own, K.INTEGER)
+        return df.drop("_seq"), Scope(scope.fields, scope.outer, done)
+
     def _order_value(self, o: N.Order, targets: list, aliases: dict, scope: Scope) -> N.Order:
         value = o.value
         if isinstance(value, N.Literal) and value.kind == K.INTEGER:
@@ -370,6 +399,26 @@ class Compiler:
             raise QueryError(f"a condition of type {kind}")
         return F.coalesce(column.cast("boolean"), F.lit(False))
 
+    def where(self, node, scope: Scope) -> Column:
+        """condition() for a filter, where false and NULL are alike: comparisons with a constant stay as they are, so that
+        they reach the scan."""
+        if isinstance(node, N.Binary) and node.op in ("AND", "OR"):
+            a, b = self.where(node.left, scope), self.where(node.right, scope)
+            return a & b if node.op == "AND" else a | b
+        if isinstance(node, N.Binary) and node.op in nullsem.SWAPPED:
+            for left, right, op in ((node.left, node.right, node.op), (node.right, node.left, nullsem.SWAPPED[node.op])):
+                value = self._constant(right)
+                if value is not None and not isinstance(left, N.Literal):
+                    a, b = self.expr(left, scope), self.expr(right, scope)
+                    if a[1] == b[1] or {a[1], b[1]} == {K.INTEGER, K.FLOAT}:  # no cast that could give NULL
+                        x, y, _ = self._level(a, b)
+                        return nullsem.kept(x, op, y)
+        return self.condition(node, scope)
+
+    def _constant(self, node):
+        """The value of a literal or a parameter; None if it is neither, or NULL."""
+        return node.value if isinstance(node, N.Literal) else self.params.get(node.name) if isinstance(node, N.Param) else None
+
     def _level(self, a: Typed, b: Typed) -> tuple[Column, Column, str]:
         """Both in a type in which they compare."""
         try:
@@ -519,7 +568,7 @@ class Compiler:
         if node.name in ("NEXTVAL", "CURRVAL"):
             if self.sequences is None:
                 raise QueryError("sequences need an engine")
-            return self.literal(self.sequences(node.name, node.args[0].value))
+            return self.literal(self.sequences(node.name, node.args[0].value)[0])
         try:
             return scalar.call(node.name, [self.expr(a, scope) for a in node.args])
         except (ValueError, TypeError) as e:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import copy
 import datetime
+import hashlib
 import re
+import secrets
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,7 +43,7 @@ class Engine:
         self.spark, self.root = spark, root
         self.db = Database(spark, root, database) if root else None
         self.resolved = dict(tables or {})
-        self.users: dict[str, dict] = {}
+        self.own_users: dict[str, dict] = {}  # of a session without a database
         self.staged: list[dict] = []
         self.catalog: Catalog | None = None  # a changed one, not yet committed
         self.open = False
@@ -56,6 +58,10 @@ class Engine:
     def now(self) -> Catalog:
         return self.catalog or (self.db.catalog if self.db else Catalog())
 
+    @property
+    def users(self) -> dict[str, dict]:
+        return self.now.users if self.db else self.own_users
+
     def query(self, sql: str, params: dict | None = None) -> DataFrame:
         """The rows of the one query in the text."""
         found = parse(sql)
@@ -72,13 +78,13 @@ class Engine:
             try:
                 return getattr(self, f"_{node.kind}")(**node.parts, **({"params": params} if node.kind in ("insert", "update", "delete", "explain") else {}))
             except Exception:
-                if self.open and node.kind in ("insert", "update", "delete"):
-                    self._rollback()
+                if not self.open or node.kind in ("insert", "update", "delete"):
+                    self._rollback()  # a failed statement leaves nothing that a later one would commit
                 raise
         return self.compiler(params).run(node)
 
     def compiler(self, params: dict | None = None) -> Compiler:
-        return Compiler(self.spark, self._table, self._function, params, self._sequence)
+        return Compiler(self.spark, self._table, self._function, params, self._sequence, self._numbered)
 
     def _table(self, source: N.Source, compiler: Compiler):
         name = source.table
@@ -389,14 +395,22 @@ class Engine:
         self._changed().views[name] = sql
         return self._done()
 
-    def _create_view(self, if_not_exists: bool, name: str, query):
-        if name in self.now.views and not if_not_exists:
-            raise QueryError(f"view {name} exists")
-        self.resolved[name] = self.compiler().run(query)
+    def _create_view(self, if_not_exists: bool, name: str, sql: str):
+        """Keeps the text, so that each query of the view, in any session, reads the tables as they then are."""
+        if name in self.now.views or name in self.now.tables:
+            if if_not_exists and name in self.now.views:
+                return None
+            raise QueryError(f"{name} exists")
+        self.compiler().query(parse(sql)[0])  # fails now if it can't be read
+        return self.create_view(name, sql)
 
     def _drop_view(self, if_exists: bool, name: str):
-        if self.resolved.pop(name, None) is None and self._changed().views.pop(name, None) is None and not if_exists:
+        if name not in self.now.views:
+            if if_exists:
+                return None
             raise QueryError(f"no view {name}")
+        del self._changed().views[name]
+        return self._done()
 
     def _create_sequence(self, if_not_exists: bool, name: str, start: int, increment: int):
         if name in self.now.sequences:
@@ -411,18 +425,22 @@ class Engine:
             raise QueryError(f"no sequence {name}")
         return self._done()
 
-    def _sequence(self, function: str, name: str) -> int:
+    def _sequence(self, function: str, name: str, n: int = 1) -> tuple[int, int]:
+        """The first of n values drawn at once (CURRVAL: the last drawn), and the step between them."""
         if name not in self.now.sequences:
             raise QueryError(f"no sequence {name}")
         if function == "CURRVAL":
             if name not in self.currval:
                 raise QueryError(f"sequence {name} has no value yet")
-            return self.currval[name]
+            return self.currval[name], 0
+        step = self.now.sequences[name]["increment"]
+        if not n:
+            return self.now.sequences[name]["next"], step
         s = self._changed().sequences[name]
-        value, s["next"] = s["next"], s["next"] + s["increment"]
-        self.currval[name] = value
+        value, s["next"] = s["next"], s["next"] + n * step
+        self.currval[name] = value + (n - 1) * step
         self._done()
-        return value
+        return value, step
 
     def _create_database(self, if_not_exists: bool, name: str):
         if name in self.databases() and not if_not_exists:
@@ -436,31 +454,60 @@ class Engine:
             raise QueryError(f"no database {name}")
         self.db = Database(self.spark, self.root, name)
 
+    def _changed_users(self) -> dict[str, dict]:
+        return self._changed().users if self.db else self.own_users
+
+    def _user(self, name: str) -> dict:
+        if name not in self.users:
+            raise QueryError(f"no user {name}")
+        return self._changed_users()[name]
+
+    @staticmethod
+    def _hashed(password: str, salt: str | None = None) -> str:
+        salt = salt or secrets.token_hex(16)
+        return f"{salt}:{hashlib.scrypt(password.encode(), salt=bytes.fromhex(salt), n=1 << 14, r=8, p=1).hex()}"
+
+    def authenticated(self, name: str, password: str) -> bool:
+        """Whether this is the user's password."""
+        known = self.users.get(name, {}).get("password")
+        return bool(known) and secrets.compare_digest(known, self._hashed(password, known.partition(":")[0]))
+
     def _create_user(self, name: str, password: str, permission: str):
         if name in self.users:
             raise QueryError(f"user {name} exists")
-        self.users[name] = {"permission": permission, "grants": {}}
+        self._changed_users()[name] = {"permission": permission, "grants": {}, "password": self._hashed(password)}
+        return self._kept()
 
     def _alter_user(self, name: str, password: str, permission: str | None = None):
-        if name not in self.users:
-            raise QueryError(f"no user {name}")
+        user = self._user(name)
+        user["password"] = self._hashed(password)
         if permission:
-            self.users[name]["permission"] = permission
+            user["permission"] = permission
+        return self._kept()
 
     def _drop_user(self, if_exists: bool, name: str):
-        if self.users.pop(name, None) is None and not if_exists:
+        if name not in self.users:
+            if if_exists:
+                return None
             raise QueryError(f"no user {name}")
+        del self._changed_users()[name]
+        return self._kept()
+
+    def _kept(self):
+        return self._done() if self.db else None
 
     # The privileges of the dialect.
     PRIVILEGES = ("SELECT", "CREATE", "INSERT", "UPDATE", "DELETE", "DROP", "ALTER")
 
     def _grant(self, privileges: Iterable[str], database: str, user: str):
-        own = self.users[user]["grants"].setdefault(database, set())
-        own |= set(self.PRIVILEGES if "ALL" in privileges else privileges)
+        grants = self._user(user)["grants"]
+        grants[database] = sorted({*grants.get(database, ()), *(self.PRIVILEGES if "ALL" in privileges else privileges)})
+        return self._kept()
 
     def _revoke(self, privileges: Iterable[str], database: str, user: str):
-        own = self.users[user]["grants"].setdefault(database, set())
-        own -= set(self.PRIVILEGES if "ALL" in privileges else privileges)
+        grants = self._user(user)["grants"]
+        grants[database] = sorted({*grants.get(database, ())} - {*(self.PRIVILEGES if "ALL" in privileges else privileges)})
+        return self._kept()
 
     # changes
 
@@ -583,7 +630,7 @@ class Engine:
         current = temporal.as_of(self.db.log(t, self.staged), t.key)
         rel = relation(current, t.kinds, t.name)
         compiler = self.compiler(params)
-        df = rel.df if where is None else rel.df.filter(compiler.condition(where, Scope(rel.fields)))
+        df = rel.df if where is None else rel.df.filter(compiler.where(where, Scope(rel.fields)))
         df = df.select(*[F.col(f.own).alias(f.name) for f in rel.fields])
         n, skip = compiler._whole(limit), compiler._whole(offset)
         if n or skip:

@@ -130,10 +130,10 @@ SQL: dict[str, tuple[str, str]] = {
     "win_last_value": ("SELECT event_id, LAST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events", "SELECT event_id, last_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM events"),
     "win_ntile": ("SELECT event_id, NTILE(4) OVER (PARTITION BY event_type ORDER BY event_id) AS t FROM events", "SELECT event_id, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id) AS t FROM events"),
     # sort, limit, distinct
-    "order_by": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 50", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50"),
-    "order_by_alias": ("SELECT p_partkey, p_retailprice * 2 AS twice FROM part ORDER BY twice DESC, p_partkey LIMIT 20", "SELECT p_partkey, p_retailprice * 2 AS twice FROM part ORDER BY 2 DESC, 1 LIMIT 20"),
-    "order_by_ordinal": ("SELECT c_name, c_custkey FROM customer ORDER BY 2 DESC LIMIT 20", "SELECT c_name, c_custkey FROM customer ORDER BY 2 DESC LIMIT 20"),
-    "order_by_index": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 30", "SELECT o_orderkey FROM orders ORDER BY 1 DESC LIMIT 30"),
+    "order_by": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey"),
+    "order_by_alias": ("SELECT p_partkey, p_retailprice * 2 AS twice FROM part ORDER BY twice DESC, p_partkey", "SELECT p_partkey, p_retailprice * 2 AS twice FROM part ORDER BY 2 DESC, 1"),
+    "order_by_ordinal": ("SELECT c_name, c_custkey FROM customer ORDER BY 2 DESC", "SELECT c_name, c_custkey FROM customer ORDER BY 2 DESC"),
+    "order_by_index": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC", "SELECT o_orderkey FROM orders ORDER BY 1 DESC"),
     "external_sort": ("SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_partkey", "SELECT l_orderkey, l_extendedprice FROM lineitem"),
     "top_n": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "limit": ("SELECT r_name FROM region LIMIT 0", "SELECT r_name FROM region"),
@@ -207,7 +207,9 @@ CHANGES: dict[str, tuple[str, str]] = {
     "ddl_index": (f"CREATE TABLE i (a INTEGER, b INTEGER, PRIMARY KEY a); CREATE UNIQUE INDEX ON i (b); {CUSTOMER} CREATE INDEX ON t (nation); INSERT INTO i (a, b) SELECT k, k + 1 FROM t; SELECT name, unique FROM indexes('i')", "SELECT * FROM (VALUES ('i(a)', TRUE), ('i(b)', TRUE)) x(name, \"unique\")"),
     "ddl_constraint": ("CREATE TABLE c (a INTEGER, b FLOAT, CONSTRAINT pos CHECK b >= -1000000, PRIMARY KEY a); INSERT INTO c (a, b) SELECT c_custkey, c_acctbal FROM customer; ALTER TABLE c DROP CONSTRAINT pos; SELECT * FROM c", "SELECT c_custkey AS a, c_acctbal AS b FROM customer"),
     "ddl_sequence": ("CREATE SEQUENCE s START WITH 5 INCREMENT BY 3; SELECT NEXTVAL('s') AS a; SELECT NEXTVAL('s') AS b, CURRVAL('s') AS c", "SELECT 8::BIGINT AS b, 8::BIGINT AS c"),
-    "view": (f"{CUSTOMER} CREATE VIEW w AS SELECT k, bal FROM t WHERE bal > 0; SELECT * FROM w", "SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_acctbal > 0"),
+    "view": (f"{CUSTOMER} CREATE VIEW w AS SELECT k, bal FROM t WHERE bal > 0; UPDATE t SET bal = 5.0 WHERE nation = 3; SELECT * FROM w", "SELECT k, bal FROM (SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN 5.0 ELSE c_acctbal END AS bal FROM customer) WHERE bal > 0"),
+    "fn_nextval": (f"{CUSTOMER} CREATE SEQUENCE s START WITH 10 INCREMENT BY 2; SELECT k, NEXTVAL('s') AS v FROM t WHERE nation < 3; SELECT CURRVAL('s') AS last, COUNT(*) AS n, COUNT(DISTINCT v) AS d, MIN(v) AS low, MAX(v) AS high FROM (SELECT NEXTVAL('s') AS v FROM t) x",
+                   "SELECT 10 + 2 * (a.n + b.n - 1) AS last, b.n AS n, b.n AS d, 10 + 2 * a.n AS low, 10 + 2 * (a.n + b.n - 1) AS high FROM (SELECT count(*) AS n FROM customer WHERE c_nationkey < 3) a, (SELECT count(*) AS n FROM customer) b"),
     "txn": (f"{CUSTOMER} BEGIN; DELETE FROM t WHERE nation = 1; ROLLBACK; BEGIN; DELETE FROM t WHERE nation = 2; UPDATE t SET bal = 0.0 WHERE nation = 3; COMMIT; SELECT * FROM t", f"SELECT k, name, nation, CASE WHEN nation = 3 THEN 0.0 ELSE bal END AS bal FROM ({SAME}) WHERE nation <> 2"),
     "savepoint": (f"{CUSTOMER} BEGIN; DELETE FROM t WHERE nation = 1; SAVEPOINT a; DELETE FROM t WHERE nation = 2; ROLLBACK TO SAVEPOINT a; RELEASE SAVEPOINT a; COMMIT; SELECT k FROM t", f"SELECT k FROM ({SAME}) WHERE nation <> 1"),
     "catalog_fns": (f"{CUSTOMER} SELECT name, type, nullable FROM columns('t')", "SELECT * FROM (VALUES ('k', 'INTEGER', FALSE), ('name', 'VARCHAR', FALSE), ('nation', 'INTEGER', TRUE), ('bal', 'FLOAT', TRUE)) x(name, type, nullable)"),

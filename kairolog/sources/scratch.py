@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,10 @@ def _own_dir() -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; in a temporary folder of this process where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or _own_dir()
     return f"{folder.rstrip('/')}/kairolog/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kairolog.sources.versionlog import Database
 
+#: Batches copied at a time.
+COPIES = 8
+
 
 def replicate(source: Database, target: Database) -> int:
     """Follower: takes the source's transactions after its own last one, in order; the number taken. Files are copied
-    and manifests keep their hashes, so the replica proves the same history. Running it again goes on where it was."""
+    byte by byte, some at a time, and manifests keep their hashes, so the replica proves the same history and contents;
+    files that retention has dropped since aren't there to copy. Running it again goes on where it was."""
     taken = 0
     source.refresh()
     for m in source.manifests[target.last_tx :]:
-        for b in m["batches"]:
-            target.spark.read.parquet(f"{source.path}/{b['path']}").write.mode("overwrite").parquet(f"{target.path}/{b['path']}")
+        paths = [b["path"] for b in m["batches"] if b["path"] not in source.replaced]
+        with ThreadPoolExecutor(COPIES) as pool:
+            list(pool.map(lambda path: target.store.copy(source.store, path), paths))
         target.store.create(f"tx/{m['tx']:012d}.json", m)
         target.refresh()
         taken += 1
