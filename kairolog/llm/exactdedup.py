@@ -8,13 +8,12 @@ row that stays. DataFrame functions only.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm.shared import ascii_lower, free_name, own, saved, small, workspace
+from kairolog.llm.shared import ascii_lower, configured, free_name, own, saved, small, workspace
 
 #: State on the executors' disks, its memory bounded, its changes logged in the shared folder.
 STATE = {
@@ -30,18 +29,6 @@ STATE = {
 TOGETHER = 250
 
 
-@contextmanager
-def _set(spark: SparkSession, conf: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text):
     """A-Z lower-cased; null is empty."""
     return ascii_lower(F.coalesce(text, F.lit("")))
@@ -77,7 +64,7 @@ def groups_of(digests: DataFrame, folder: str) -> DataFrame:
     it has read lie in folder/state. Each micro-batch writes the groups that it changed, under its number, so that a
     batch done again replaces its own. Returns every group as it is now."""
     spark = digests.sparkSession
-    with _set(spark, STATE):
+    with configured(spark, STATE):
         stream = spark.readStream.schema(digests.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/digests")
         groups = group_stream(stream)
         query = (

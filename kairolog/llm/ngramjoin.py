@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairolog.llm.components import components
-from kairolog.llm.shared import ascii_lower, released, removed, saved, small, trim, workspace
+from kairolog.llm.shared import SMALL_BATCHES, ascii_lower, configured, released, removed, saved, small, trim, workspace
 from kairolog.llm.shingles import mix, shingle_sets
 
 #: Links need 100 * intersection >= 75 * union. The bounds above follow from this value.
@@ -212,44 +212,54 @@ def indexed(texts: DataFrame, heat: Heat, ways: dict[int, int], buckets: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat, ways = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                nodes = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                sizes, marks = [], []
-                for i in range(0, part.num_rows, 512):
-                    for s in shingle_sets(part.column(2).slice(i, 512).to_pylist()):
+
+        def blocks() -> Iterator[tuple[np.ndarray, list[bytes], list[int], list[np.ndarray]]]:
+            nodes: list[int] = []
+            digests, sizes, marks = [], [], []
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    nodes += part.column(0).to_pylist()
+                    digests += part.column(1).to_pylist()
+                    for s in shingle_sets(part.column(2).to_pylist()):
                         sizes.append(len(s))
                         marks.append(entries(s, heat, ways))
-                of = np.repeat(np.arange(len(marks), dtype=np.uint16), [len(m) for m in marks])
-                mark = np.concatenate(marks)
-                del marks
-                bucket = ((mark >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.lexsort((nodes[of], mark))  # so by bucket too
-                mark, of, bucket = mark[order], of[order], bucket[order]
-                first = _groups(mark)
-                n = np.diff(np.append(first, len(mark)))
-                several = np.repeat(n > PAIRED, n)
-                several[first] = False
-                rows = []
-                for f, k in zip(first[n > PAIRED].tolist(), n[n > PAIRED].tolist(), strict=True):
-                    b = int(bucket[f])
-                    rows.append((b, 2, _list_names(mark[f : f + 1], b).tobytes() + nodes[of[f : f + k]].tobytes()))
-                of[first[n > PAIRED]] |= MANY
-                mark, of, bucket = mark[~several], of[~several], bucket[~several]
-                cut = np.append(_groups(bucket), len(bucket))
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    m = mark[x:y]  # 48 bits besides the bucket's tell entries apart; what they confuse is verified
-                    used, place = np.unique(of[x:y] & np.uint16(MANY - 1), return_inverse=True)
-                    place = place.astype("<u2") | (of[x:y] & np.uint16(MANY))
-                    head = np.array([len(used), len(m)], "<i8").tobytes()
-                    rows.append((int(bucket[x]), 0, head + nodes[used].tobytes() + place.astype("<u2").tobytes() + (m & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((m >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()))
-                sized = b"".join(part.column(1).to_pylist())
-                rows.append((int(nodes[0]) % buckets, 1, np.array([len(sizes), 0], "<i8").tobytes() + nodes.tobytes() + np.array(sizes, "<i8").tobytes() + sized))
-                del mark, of, bucket, order, several
-                trim()
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "kind", "content"), r, strict=True)) for r in rows[i : i + 64]], pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("content", pa.binary())]))
+                    if len(nodes) >= BLOCK:
+                        yield np.array(nodes, "<i8"), digests, sizes, marks
+                        nodes, digests, sizes, marks = [], [], [], []
+            if nodes:
+                yield np.array(nodes, "<i8"), digests, sizes, marks
+
+        for nodes, digests, sizes, marks in blocks():
+            of = np.repeat(np.arange(len(marks), dtype=np.uint16), [len(m) for m in marks])
+            mark = np.concatenate(marks)
+            marks.clear()
+            bucket = ((mark >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.lexsort((nodes[of], mark))  # so by bucket too
+            mark, of, bucket = mark[order], of[order], bucket[order]
+            first = _groups(mark)
+            n = np.diff(np.append(first, len(mark)))
+            several = np.repeat(n > PAIRED, n)
+            several[first] = False
+            rows = []
+            for f, k in zip(first[n > PAIRED].tolist(), n[n > PAIRED].tolist(), strict=True):
+                b = int(bucket[f])
+                rows.append((b, 2, _list_names(mark[f : f + 1], b).tobytes() + nodes[of[f : f + k]].tobytes()))
+            of[first[n > PAIRED]] |= MANY
+            mark, of, bucket = mark[~several], of[~several], bucket[~several]
+            cut = np.append(_groups(bucket), len(bucket))
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                m = mark[x:y]  # 48 bits besides the bucket's tell entries apart; what they confuse is verified
+                used, place = np.unique(of[x:y] & np.uint16(MANY - 1), return_inverse=True)
+                place = place.astype("<u2") | (of[x:y] & np.uint16(MANY))
+                head = np.array([len(used), len(m)], "<i8").tobytes()
+                rows.append((int(bucket[x]), 0, head + nodes[used].tobytes() + place.astype("<u2").tobytes() + (m & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((m >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()))
+            sized = b"".join(digests)
+            rows.append((int(nodes[0]) % buckets, 1, np.array([len(sizes), 0], "<i8").tobytes() + nodes.tobytes() + np.array(sizes, "<i8").tobytes() + sized))
+            del mark, of, bucket, order, several
+            trim()
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "kind", "content"), r, strict=True)) for r in rows[i : i + 64]], pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("content", pa.binary())]))
 
     return texts.mapInArrow(run, "bucket long, kind int, content binary")
 
@@ -496,12 +506,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     copies = saved(narrow.join(reps, "digest", "left").filter("node is null or node <> first").select("node", "digest").distinct(), f"{folder}/copies")
     gone = copies.filter("node is not null")
     texts = d.filter("node is not null").join(small(gone), ["digest", "node"], "left_anti").select("node", "digest", "text")
-    heat = find_heat(d.select("text"))
+    with configured(spark, SMALL_BATCHES):
+        heat = find_heat(d.select("text"))
     ways = {b: allocation(b, heat) for b in range(BANDS)}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, volume // BUCKET)
     found = indexed(texts, heat, ways, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, FOUND)
-    found = saved(found, f"{folder}/found")
+    with configured(spark, SMALL_BATCHES):
+        found = saved(found, f"{folder}/found")
     released(spark)
     sizes = saved(found.filter("kind = 1").select("digest", F.col("n").alias("n_shingles"), F.col("a").alias("rep")).distinct(), f"{folder}/by-text")
     node_sizes = saved(sizes.groupBy(F.col("rep").alias("node")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")).withColumn("spare", spare_of("least", "most", ways)), f"{folder}/sizes")
@@ -531,7 +543,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     live = best.select(F.col("a").alias("node")).union(best.select("b")).union(few.select("a")).union(few.select("b")).union(in_list.select("node")).distinct()
     live = saved(live, f"{folder}/live")
     removed(spark, f"{folder}/found")
-    sets = saved(shingles_of(texts.select("node", "text").join(small(live), "node", "left_semi").select("node", "text")), f"{folder}/sets")
+    with configured(spark, SMALL_BATCHES):
+        sets = saved(shingles_of(texts.select("node", "text").join(small(live), "node", "left_semi").select("node", "text")), f"{folder}/sets")
     first = saved(verified(best, sets, f"{folder}/v1"), f"{folder}/first")
     labels = components(first, f"{folder}/first-components")
     released(spark)

@@ -238,6 +238,7 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, wi
                     before[c] += rest
                 part = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.int64()) for x in part[:9]], pa.array(part[9], pa.binary())], names=["key", "slice", "number", "tokens", "fulls_before", "fulls", "class", "rank", "before", "rest", "ids"])
+        words.forget()
         trim()
 
     kind = docs.schema[key].dataType.simpleString()

@@ -8,6 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,23 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: For jobs that an operator runs itself: rows that Python workers get at once, so that a batch of long texts stays small.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]):
+    """These settings while jobs run, then those before."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def trim() -> None:
     """In a Python worker: gives freed memory back to the system. Workers live from stage to stage, and an executor's limit
     holds for all of its own together."""

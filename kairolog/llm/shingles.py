@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at a time; a part ends at white space, or is as long as its longest word.
-PART = 1 << 20
+PART = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

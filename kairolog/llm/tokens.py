@@ -90,6 +90,10 @@ class WordTokenizer:
         for text, own, p in zip(texts, words, plain, strict=True):
             yield b"".join(map(get, own)) if p else self._whole(text)
 
+    def forget(self) -> None:
+        """Keeps no run, as at the end of a task: workers live on, and the next task learns its frequent ones soon."""
+        self.known = {}
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in order; null is empty. Some texts at a time, so that memory is bounded by the longest."""
         some, size = [], 0
