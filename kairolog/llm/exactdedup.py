@@ -64,7 +64,9 @@ def groups_of(digests: DataFrame, folder: str) -> DataFrame:
     it has read lie in folder/state. Each micro-batch writes the groups that it changed, under its number, so that a
     batch done again replaces its own. Returns every group as it is now."""
     spark = digests.sparkSession
-    with configured(spark, STATE):
+    # a digest is a small part of its row: fewer stores than partitions, each with its own files and memory, are enough
+    stores = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    with configured(spark, STATE | {"spark.sql.shuffle.partitions": str(stores)}):
         stream = spark.readStream.schema(digests.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/digests")
         groups = group_stream(stream)
         query = (
