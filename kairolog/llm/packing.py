@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kairolog.llm.shared import saved, small, trim, workspace
+from kairolog.llm.shared import SMALL_BATCHES, configured, saved, small, trim, workspace
 from kairolog.llm.tokens import WordTokenizer, vocabulary_path
 
 WINDOW, GRAIN, COARSE = 4096, 4, 16
@@ -251,7 +251,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     A null text is empty and gives its end id; each of repeated rows is packed; an empty table gives no pieces."""
     spark, folder, path = docs.sparkSession, workspace(docs.sparkSession, "packing"), tokenizer or vocabulary_path()
     width = 2 if max(WordTokenizer.of(path).size - 1, end) < 1 << 16 else 4
-    tokenized(docs, key, text, path, end, window, grain, ordinary).write.option("compression", "zstd").parquet(f"{folder}/tokens")
+    with configured(spark, SMALL_BATCHES):
+        tokenized(docs, key, text, path, end, window, grain, ordinary).write.option("compression", "zstd").parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
     narrow = tokens.drop("ids")
     # what lies before each slice, for each class (of whole windows: class -1)
