@@ -294,7 +294,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         return pa.array(out, PLACES)
 
     rest_start = F.col("tokens") - F.col("rest")
-    pieces = ranked.withColumn("p", placed("class", "rank", "before", "rest"))
+    # a table, else the plan asks Python for the places again in each branch and once more for the filter
+    pieces = saved(ranked.withColumn("p", placed("class", "rank", "before", "rest")), f"{folder}/pieces")
     in_chain = F.get("p", 0)["offset"] >= 0
     one = pieces.filter(~in_chain).select("slice", "number", rest_start.alias("start"), F.col("rest").alias("length"), F.get("p", 0)["sequence"].alias("sequence"), F.get("p", 0)["place"].alias("place"))
     ahead = Window.partitionBy("sequence").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
