@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from kairolog.operators.temporal import as_of, history
 
-#: Most entries of one scan, as a client may ask for.
-SCAN_CAP = 2500
-
 
 class KeyResolutionLimit(ValueError):
     """A reference to a reference."""
@@ -44,7 +41,7 @@ def get_all(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def scan(log: DataFrame, prefix: str = "", seek: str | None = None, end: str | None = None, inclusive_seek: bool = False, inclusive_end: bool = False, desc: bool = False, offset: int = 0, limit: int = 0) -> DataFrame:
-    """Keys of a prefix in order, from seek to end."""
+    """Keys of a prefix in order, from seek to end; all of them without a limit."""
     out = log.filter(F.col("key").startswith(prefix)) if prefix else log
     low, high = (end, seek) if desc else (seek, end)
     low_in, high_in = (inclusive_end, inclusive_seek) if desc else (inclusive_seek, inclusive_end)
@@ -54,7 +51,7 @@ def scan(log: DataFrame, prefix: str = "", seek: str | None = None, end: str | N
         out = out.filter(F.col("key") <= high if high_in else F.col("key") < high)
     out = live(out).orderBy(F.col("key").desc() if desc else F.col("key"))
     out = out.offset(offset) if offset else out
-    return out.limit(limit or SCAN_CAP)
+    return out.limit(limit) if limit else out
 
 
 def key_history(log: DataFrame, key: str, desc: bool = False, offset: int = 0, limit: int = 0) -> DataFrame:

@@ -1,7 +1,8 @@
 """Integrity: Merkle trees over rows, in Spark, and proofs that a client checks alone.
 
 A leaf's hash is SHA-256 of 0x00 and the leaf, an inner node's of 0x01 and its children. Levels are aggregations over
-pairs; a node without a partner goes up as it is. Only a proof's path, one row a level, comes to the driver.
+pairs; a node without a partner goes up as it is. The paths of all leaves are found by a join a level, and a proof is
+checked as a column. Transactions' hashes lie on the driver already; their own append-only tree is computed there.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairolog.sources.scratch import saved, scratch
@@ -39,6 +40,41 @@ def root(tree: Sequence[DataFrame]) -> bytes:
     return bytes(row["hash"]) if row else hashlib.sha256(b"").digest()
 
 
+def leaves(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows as leaves in the order of their key: i, key (a struct), hash (of all columns). Places within sorted partitions
+    are added to those of the partitions before. Rows of one key are leaves each, in any order."""
+    sorted_rows = rows.select(F.struct(*key).alias("key"), leaf(*rows.columns).alias("hash")).orderBy("key", "hash").withColumn("mid", F.monotonically_increasing_id())
+    tagged = saved(sorted_rows, scratch(rows.sparkSession, "leaves")).withColumn("part", F.shiftright("mid", 33))
+    sizes = tagged.groupBy("part").count()  # a row for each task
+    base = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("base"))
+    return tagged.join(base, "part").select((F.col("base") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), "key", "hash")
+
+
+def inclusions(tree: Sequence[DataFrame]) -> DataFrame:
+    """For each leaf i, hash and path: on each level its partner's hash and whether that is the left one."""
+    out = tree[0].select("i", "hash", F.col("i").alias("at"), F.array().cast("array<struct<left:boolean,hash:binary>>").alias("path"))
+    for level in tree[:-1]:
+        beside = level.select(F.col("i").bitwiseXOR(F.lit(1)).alias("at"), F.col("hash").alias("other"))
+        step = F.array(F.struct((F.col("at").bitwiseAND(F.lit(1)) == 1).alias("left"), F.col("other").alias("hash")))
+        out = out.join(beside, "at", "left").select("i", "hash", F.shiftright("at", 1).alias("at"), F.when(F.col("other").isNull(), F.col("path")).otherwise(F.concat("path", step)).alias("path"))
+    return out.drop("at")
+
+
+def holds(leaf_hash: Column, path: Column, root_hash: bytes) -> Column:
+    """Whether a path leads from a leaf's hash to the root."""
+    both = lambda h, x: F.when(x["left"], F.concat(x["hash"], h)).otherwise(F.concat(h, x["hash"]))
+    top = F.aggregate(path, leaf_hash, lambda h, x: F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), both(h, x)), 256)))
+    return top == F.unhex(F.lit(root_hash.hex()))
+
+
+def proven(rows: DataFrame, key: Sequence[str]) -> tuple[bytes, DataFrame]:
+    """The root of a table's state, and for each of its rows key, hash and path. Who keeps the root can check a row alone.
+    Of no rows: the hash of nothing, and no paths."""
+    own = saved(leaves(rows, key), scratch(rows.sparkSession, "proven"))
+    tree = levels(own)
+    return root(tree), own.select("i", "key").join(inclusions(tree), "i").select("key", "hash", "path")
+
+
 def inclusion(tree: Sequence[DataFrame], i: int) -> list[tuple[str, bytes]]:
     """The proof of leaf i: on each level its partner's hash and side; levels without a partner are left out."""
     out = []
@@ -75,6 +111,51 @@ def follows(trusted: bytes, proof: Sequence[bytes], claimed: bytes) -> bool:
     return (chain(proof, trusted) or [trusted])[-1] == claimed
 
 
+def consistency(hashes: Sequence[bytes], first: int, last: int) -> list[bytes]:
+    """That the append-only tree of the first `last` hashes continues that of the first `first` (1 to last): nodes of the
+    later tree, from the lowest, by which both roots are computed. They grow with the logarithm of `last`."""
+    if not 0 < first <= last <= len(hashes):
+        raise ValueError(f"no proof from {first} to {last} of {len(hashes)}")
+
+    def nodes(m: int, own: Sequence[bytes], known: bool) -> list[bytes]:
+        if m == len(own):
+            return [] if known else [tree_root(own)]
+        half = 1 << (len(own) - 1).bit_length() - 1
+        if m <= half:
+            return [*nodes(m, own[:half], known), tree_root(own[half:])]
+        return [*nodes(m - half, own[half:], False), tree_root(own[:half])]
+
+    return nodes(first, hashes[:last], True)
+
+
+def continues(old_root: bytes, first: int, new_root: bytes, last: int, proof: Sequence[bytes]) -> bool:
+    """Whether a consistency proof leads to both roots: the old tree's last node is followed up the new tree, and what
+    stands left of it belongs to both."""
+    if first == last:
+        return old_root == new_root and not proof
+    rest = list(proof)
+    a, b = first - 1, last - 1
+    while a & 1:
+        a, b = a >> 1, b >> 1
+    if a:  # else the old tree is a whole node of the new one, and its root is known
+        if not rest:
+            return False
+        old = new = rest.pop(0)
+    else:
+        old = new = old_root
+    for h in rest:
+        if not b:
+            return False
+        if a & 1 or a == b:
+            old, new = (hashlib.sha256(b"\x01" + h + x).digest() for x in (old, new))
+            while a and not a & 1:
+                a, b = a >> 1, b >> 1
+        else:
+            new = hashlib.sha256(b"\x01" + new + h).digest()
+        a, b = a >> 1, b >> 1
+    return (old, new, b) == (old_root, new_root, 0)
+
+
 def consistent(old_root: bytes, old_size: int, leaves: Sequence[bytes], new_root: bytes) -> bool:
     """Whether a tree of these leaf hashes has both roots, the old one over its first leaves."""
     return tree_root(leaves[:old_size]) == old_root and tree_root(leaves) == new_root

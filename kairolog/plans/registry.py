@@ -310,12 +310,35 @@ def doc_count(spark, sf_dir):
 
 
 def proof_entry(spark, sf_dir):
-    """Every nation's inclusion in the Merkle tree of the table, checked."""
-    leaves = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"), proofs.leaf("n_nationkey", "n_name", "n_regionkey").alias("hash"))
-    tree = proofs.levels(leaves)
-    top = proofs.root(tree)
-    own = {r["i"]: bytes(r["hash"]) for r in tree[0].collect()}
-    return spark.createDataFrame([(i, proofs.verified(h, proofs.inclusion(tree, i), top)) for i, h in sorted(own.items())], "i long, ok boolean")
+    """Every customer's inclusion in the Merkle tree of the table, checked."""
+    tree = proofs.levels(proofs.leaves(read(spark, sf_dir, "customer"), ["c_custkey"]))
+    return proofs.inclusions(tree).select("i", proofs.holds(F.col("hash"), F.col("path"), proofs.root(tree)).alias("ok"))
+
+
+def verify_row(spark, sf_dir):
+    """Each row against the root of its table's state; rows as they were before a change don't hold."""
+    e = engine(spark, sf_dir, True)
+    e.execute(f"{CUSTOMER} UPDATE t SET bal = bal + 1 WHERE nation = 3")
+    top, paths = proofs.proven(e.query("SELECT * FROM t"), ["k"])
+    old = e.query("SELECT * FROM t BEFORE TX 3")
+    given = old.select(F.struct("k").alias("key"), proofs.leaf(*old.columns).alias("given"))
+    return paths.join(given, "key").select("key.k", proofs.holds(F.col("hash"), F.col("path"), top).alias("ok"), proofs.holds(F.col("given"), F.col("path"), top).alias("old_ok"))
+
+
+def verifiable_get(spark, sf_dir):
+    """The state of every key, proven."""
+    top, paths = proofs.proven(kv.live(kv_log(spark, sf_dir)), ["key"])
+    return paths.select("key.key", proofs.holds(F.col("hash"), F.col("path"), top).alias("ok"))
+
+
+def proof_dual(spark, sf_dir):
+    """Between any two transactions: the later state continues the earlier one, and no other."""
+    e = engine(spark, sf_dir, True)
+    e.execute(f"{CUSTOMER} UPDATE t SET bal = 0.0 WHERE nation = 3; DELETE FROM t WHERE nation = 4; UPDATE t SET nation = 7 WHERE nation = 8")
+    hashes = [bytes.fromhex(m["hash"]) for m in e.db.manifests]
+    top = [proofs.tree_root(hashes[:n]) for n in range(len(hashes) + 1)]
+    pairs = [(a, b, proofs.consistency(hashes, a, b)) for b in range(1, len(top)) for a in range(1, b + 1)]
+    return spark.createDataFrame([(a, b, proofs.continues(top[a], a, top[b], b, p), proofs.continues(top[0], a, top[b], b, p)) for a, b, p in pairs], "tx_from long, tx_to long, ok boolean, forged_ok boolean")
 
 
 def proof_linear(spark, sf_dir):
@@ -345,9 +368,9 @@ def stream_index(spark, sf_dir):
     log = event_log(spark, sf_dir)
     log.write.parquet(f"{path}/log")
     state = replication.latest_state(replication.read_stream(spark, f"{path}/log", log.schema), ["user_id"])
-    query = state.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/{n}")).start()
-    query.awaitTermination()
-    out = spark.read.parquet(f"{path}/out/0")
+    query = state.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    query.awaitTermination()  # each micro-batch gives the whole state, in place of the one before
+    out = spark.read.parquet(f"{path}/out")
     return out.filter(~F.col("_deleted")).select("user_id", "event_type", "value")
 
 
@@ -363,6 +386,58 @@ def stream_retention(spark, sf_dir):
     return e.query("SELECT * FROM t")
 
 
+def nations(spark, sf_dir):
+    """A key-value store of the nations."""
+    from kairolog.sources.kvstore import KVStore, Set
+
+    s = KVStore(engine(spark, sf_dir, True))
+    s.exec_all([Set(r["n_name"], str(r["n_regionkey"])) for r in read(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()])  # 25 rows
+    return s
+
+
+def kv_set(spark, sf_dir):
+    s = nations(spark, sf_dir)
+    s.set("NATION_7", "changed")
+    return kv.live(s.log).select("key", "value")
+
+
+def kv_delete(spark, sf_dir):
+    s = nations(spark, sf_dir)
+    s.delete("NATION_7")
+    return kv.live(s.log).select("key", "value")
+
+
+def kv_preconditions(spark, sf_dir):
+    """Each kind of precondition where it holds and where it doesn't; what is refused changes nothing."""
+    from kairolog.sources.kvstore import PreconditionFailed
+
+    s, out = nations(spark, sf_dir), []
+    before = s.engine.db.last_tx
+    for kind, bad, good in (("must_exist", ("NOWHERE",), ("NATION_3",)), ("must_not_exist", ("NATION_3",), ("NOWHERE",)), ("not_modified_after", {"NATION_3": before - 1}, {"NATION_3": before})):
+        refused = []
+        for at in (bad, good):
+            try:
+                s.set("NATION_9", kind, **{kind: at})
+                refused.append(False)
+            except PreconditionFailed:
+                refused.append(True)
+        out.append((kind, *refused, s.get("NATION_9").first()["value"], s.engine.db.last_tx - before))
+    return spark.createDataFrame(out, "kind string, bad_refused boolean, good_refused boolean, value string, transactions long")
+
+
+def zset_add(spark, sf_dir):
+    from kairolog.sources.kvstore import KVStore, ZAdd
+
+    s = KVStore(engine(spark, sf_dir, True))
+    s.exec_all([ZAdd("n", float(r["n_regionkey"]), r["n_name"]) for r in read(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()])
+    s.exec_all([ZAdd("n", 9.5, "NATION_7")])  # an entry's score is replaced
+    return s.zscan("n", low=2.0).select("score", "key")
+
+
+def params(spark, sf_dir):
+    return engine(spark, sf_dir).query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > @least AND o_orderstatus = @status", {"least": 1000.0, "status": "O"})
+
+
 def exec_all(spark, sf_dir):
     from kairolog.sources.kvstore import Delete, KVStore, Set, ZAdd
 
@@ -372,15 +447,49 @@ def exec_all(spark, sf_dir):
     return kv.live(s.log).select("key", "value", "ref_key")
 
 
-def doc_crud(spark, sf_dir):
+def collection(spark, sf_dir):
+    """The documents' languages and sizes as a collection."""
     from kairolog.sources.collections import Collections
 
     c = Collections(engine(spark, sf_dir, True))
     c.create("d", {"lang": "STRING", "info.size": "INTEGER"})
     docs = read(spark, sf_dir, "documents")
     c.insert_frame("d", docs.select(F.col("doc_id").cast("string").alias("_id"), F.to_json(F.struct("lang", F.struct(F.col("n_chars").alias("size")).alias("info"))).alias("_doc")))
+    return c
+
+
+def in_collection(c, *expressions):
+    return c.search("d", expressions).select(F.col("_id").alias("id"), "lang", F.col("`info.size`").alias("size"))
+
+
+def doc_insert(spark, sf_dir):
+    return in_collection(collection(spark, sf_dir))
+
+
+def doc_replace(spark, sf_dir):
+    c = collection(spark, sf_dir)
+    c.replace("d", [[Comparison("lang", "EQ", "fr")]], {"lang": "xx", "info": {"size": 1}})
+    return in_collection(c)
+
+
+def doc_crud(spark, sf_dir):
+    c = collection(spark, sf_dir)
     c.delete_documents("d", [[Comparison("lang", "EQ", "fr")]])
-    return c.search("d", [[Comparison("info.size", "GT", 500)]]).select(F.col("_id").alias("id"), "lang", F.col("`info.size`").alias("size"))
+    return in_collection(c, [Comparison("info.size", "GT", 500)])
+
+
+def doc_audit(spark, sf_dir):
+    """The revisions of one document that was replaced with all others, then deleted."""
+    c = collection(spark, sf_dir)
+    c.replace("d", [], {"lang": "xx"})
+    c.delete_documents("d", [])
+    return c.audit("d", str(read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0])).select("_rev", "_tx", "_deleted")
+
+
+def doc_proof(spark, sf_dir):
+    """Every document of a collection against the root of its state."""
+    top, paths = proofs.proven(collection(spark, sf_dir).current("d").select("_id", "_doc"), ["_id"])
+    return paths.select(F.col("key._id").alias("id"), proofs.holds(F.col("hash"), F.col("path"), top).alias("ok"))
 
 
 def kv_expiry(spark, sf_dir):
@@ -441,7 +550,19 @@ CALLS: dict[str, tuple[Callable, str | None]] = {
     "doc_search": (doc_search, "SELECT doc_id, lang, source, n_chars FROM documents WHERE (lang = 'de' AND n_chars > 1000) OR (source LIKE 'src1%' AND lang IS DISTINCT FROM 'en')"),
     "doc_count": (doc_count, "SELECT least(50, count(*)) AS n FROM documents WHERE lang = 'en'"),
     "doc_crud": (doc_crud, "SELECT doc_id::VARCHAR AS id, lang, n_chars AS size FROM documents WHERE lang IS DISTINCT FROM 'fr' AND n_chars > 500"),
-    "proof_entry": (proof_entry, "SELECT n_nationkey::BIGINT AS i, TRUE AS ok FROM nation"),
+    "doc_insert": (doc_insert, "SELECT doc_id::VARCHAR AS id, lang, n_chars AS size FROM documents"),
+    "doc_replace": (doc_replace, "SELECT doc_id::VARCHAR AS id, CASE WHEN lang = 'fr' THEN 'xx' ELSE lang END AS lang, CASE WHEN lang = 'fr' THEN 1::BIGINT ELSE n_chars END AS size FROM documents"),
+    "doc_audit": (doc_audit, "SELECT * FROM (VALUES (1, 2::BIGINT, FALSE), (2, 3::BIGINT, FALSE), (3, 4::BIGINT, TRUE)) x(_rev, _tx, _deleted)"),
+    "doc_proof": (doc_proof, "SELECT doc_id::VARCHAR AS id, TRUE AS ok FROM documents"),
+    "kv_set": (kv_set, "SELECT n_name AS key, CASE WHEN n_name = 'NATION_7' THEN 'changed' ELSE n_regionkey::VARCHAR END AS value FROM nation"),
+    "kv_delete": (kv_delete, "SELECT n_name AS key, n_regionkey::VARCHAR AS value FROM nation WHERE n_name <> 'NATION_7'"),
+    "kv_preconditions": (kv_preconditions, "SELECT kind, TRUE AS bad_refused, FALSE AS good_refused, kind AS value, n::BIGINT AS transactions FROM (VALUES ('must_exist', 1), ('must_not_exist', 2), ('not_modified_after', 3)) x(kind, n)"),
+    "zset_add": (zset_add, "SELECT * FROM (SELECT CASE WHEN n_name = 'NATION_7' THEN 9.5 ELSE n_regionkey END::DOUBLE AS score, n_name AS key FROM nation) WHERE score >= 2"),
+    "params": (params, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O'"),
+    "proof_entry": (proof_entry, "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, TRUE AS ok FROM customer"),
+    "verify_row": (verify_row, "SELECT c_custkey AS k, TRUE AS ok, c_nationkey <> 3 AS old_ok FROM customer"),
+    "verifiable_get": (verifiable_get, f"SELECT key, TRUE AS ok FROM (SELECT * FROM ({KV}) QUALIFY {LAST.format('key')}) WHERE NOT deleted"),
+    "proof_dual": (proof_dual, "SELECT a AS tx_from, b AS tx_to, TRUE AS ok, FALSE AS forged_ok FROM range(1, 6) x(a), range(1, 6) y(b) WHERE a <= b"),
     "proof_linear": (proof_linear, "SELECT 3 AS transactions, TRUE AS ok, 0 AS damaged"),
     "stream_replication": (stream_replication, "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_nationkey <> 1"),
     "stream_index": (stream_index, f"SELECT user_id, event_type, value FROM ({_state(None, None)})"),

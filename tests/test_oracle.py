@@ -9,7 +9,7 @@ from kairolog.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: Run as one statement each; the ones that write are slower and covered by test_engine.py.
-NAMES = [k for k in registry.oracle_sql() if k in registry.SQL or k in registry.CALLS and k not in ("doc_crud", "exec_all", "stream_replication", "stream_retention", "sink_copy", "proof_entry", "proof_linear")]
+NAMES = [k for k in registry.oracle_sql() if k in registry.SQL or k in registry.CALLS and k not in ("doc_crud", "exec_all", "stream_replication", "stream_retention", "sink_copy", "proof_linear")]
 
 
 @pytest.fixture(scope="module")
