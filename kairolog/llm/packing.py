@@ -252,7 +252,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     spark, folder, path = docs.sparkSession, workspace(docs.sparkSession, "packing"), tokenizer or vocabulary_path()
     width = 2 if max(WordTokenizer.of(path).size - 1, end) < 1 << 16 else 4
     with configured(spark, SMALL_BATCHES):
-        tokenized(docs, key, text, path, end, window, grain, ordinary).write.option("compression", "zstd").parquet(f"{folder}/tokens")
+        tokenized(docs, key, text, path, end, window, grain, ordinary).write.parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
     narrow = tokens.drop("ids")
     # what lies before each slice, for each class (of whole windows: class -1)
